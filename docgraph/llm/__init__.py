@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontamination", "line_dedup", "records", "secret_scan", "mixing", "warc")
+MODULES = ("sharding", "decontamination", "line_dedup", "records", "secret_scan", "mixing", "quality", "warc")
 
 
 def _gather(attribute: str) -> dict:

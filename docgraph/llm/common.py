@@ -138,7 +138,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def batches_of(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20):
     """Slices of a batch whose texts have about ``most`` bytes, so that arrays beside them stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)
