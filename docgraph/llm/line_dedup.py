@@ -12,7 +12,7 @@ The tree's inner levels are a hash of (count, leading tokens): lines of a leaf
 in too few documents can't recur and drop out before any text moves.  What is
 left is grouped by leaf, each distinct line once, and templates are found leaf
 by leaf, in the lines' order, so that the result doesn't depend on partitions.
-Texts are then joined to the hashes of their dropped lines by a hash of the
+Texts are then joined to the numbers of their dropped lines by a hash of the
 text.
 
 Nulls: a null text stays null, an empty one empty.  Documents are told apart
@@ -25,15 +25,21 @@ names; one named like a new column is replaced.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Columns, table, written
+from docgraph.llm.common import Columns, batches_of, table, written
 
 DOCUMENTS, ALIKE, TOKENS, LEAST, DEPTH = 5, 0.7, 6, 3, 3
 VARIABLE = "<*>"
+_DIGIT, _DIGITS = re.compile("[0-9]"), re.compile(r"[^ ]*[0-9][^ ]*")
 
 
 def find_templates(lines: list[str], alike: float = ALIKE, tokens: int = TOKENS) -> list[int]:
@@ -59,26 +65,51 @@ def find_templates(lines: list[str], alike: float = ALIKE, tokens: int = TOKENS)
     return own
 
 
-def _masked(line: Column) -> Column:
-    """A line's tokens by single spaces, those with a digit as the variable."""
-    return F.array_join(F.transform(F.split(F.trim(line), r"\s+"), lambda t: F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t)), " ")
+def parsed(text: str, least: int = LEAST, depth: int = DEPTH) -> Iterator[tuple[int, int, str]]:
+    """Number, leaf and masked tokens (by single spaces, those with a digit as the variable) of a text's lines."""
+    for i, line in enumerate(text.split("\n")):
+        found = line.split()
+        if len(found) >= least:
+            masked = " ".join(found)
+            if _DIGIT.search(masked):
+                masked = _DIGITS.sub(VARIABLE, masked)
+                found = masked.split(" ", depth)
+                n = masked.count(" ") + 1
+            else:
+                n = len(found)
+            yield i, xxhash.xxh64_intdigest(f"{n} {' '.join(found[:depth])}") - 2**63, masked
 
 
 def drop_recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, alike: float = ALIKE, tokens: int = TOKENS, least: int = LEAST, depth: int = DEPTH) -> DataFrame:
     """Documents without their recurring lines; ``dropped`` counts them."""
     cols = Columns(docs, ["doc_id", "text"])
-    d = cols.df.select("_0", "_1").filter("_1 is not null and _1 != ''")
-    keyed = d.select(F.xxhash64("_1").alias("text_hash"), F.coalesce(F.col("_0").cast("bigint"), F.xxhash64("_1")).alias("doc"), F.explode(F.split("_1", "\n")).alias("line"))
-    masked = keyed.select("text_hash", "doc", _masked(F.col("line")).alias("line"))
-    parts = F.split("line", " ")
-    lines = (masked.withColumn("n", F.size(parts)).filter((F.col("n") >= least) & (F.col("line") != ""))
-             .select("text_hash", "doc", "line", F.xxhash64(F.concat_ws(" ", F.col("n"), F.slice(parts, 1, depth))).alias("leaf")))
-    leaves = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= documents).select("leaf")
+    keyed = cols.df.filter("_1 is not null and _1 != ''").select(F.xxhash64("_1").alias("text_hash"), F.coalesce(F.col("_0").cast("bigint"), F.xxhash64("_1")).alias("doc"), "_1")
+
+    def leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf, doc = [], []
+            for d, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own = {x[1] for x in parsed(text, least, depth)}
+                leaf += own
+                doc += [d] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(doc, pa.int64())], ["leaf", "doc"])
+
+    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in batches_of(whole, 2)):
+            own = [list(parsed(text, least, depth)) for text in b.column(2).to_pylist()]
+            many = [len(x) for x in own]
+            flat = [x for lines in own for x in lines]
+            heads = b.select([0, 1]).take(pa.array(np.repeat(np.arange(len(many)), many)))
+            yield pa.RecordBatch.from_arrays([*heads.columns, pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.string())],
+                                             ["text_hash", "doc", "no", "leaf", "line"])
+
+    leaves = (keyed.mapInArrow(leaves_of, "leaf bigint, doc bigint").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= documents).select("leaf"))
+    lines = keyed.mapInArrow(lines_of, "text_hash bigint, doc bigint, no int, leaf bigint, line string")
     kept = written(lines.join(leaves, "leaf", "left_semi"), "leaf-lines")
 
     def per_leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         by_count: dict[int, list[str]] = {}
-        for line in sorted(set(pdf["line"])):
+        for line in sorted(pdf["line"]):
             by_count.setdefault(line.count(" "), []).append(line)
         rows = []
         for n, own in by_count.items():  # one, unless two leaves share a hash
@@ -86,17 +117,13 @@ def drop_recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, alike: flo
         return pd.DataFrame({"leaf": pdf["leaf"].iloc[0], "line": [r[0] for r in rows], "template": [r[1] for r in rows]})
 
     found = kept.select("leaf", "line").distinct().groupBy("leaf").applyInPandas(per_leaf, "leaf bigint, line string, template string")
-    of_lines = kept.join(found, ["leaf", "line"])
+    of_lines = kept.join(found, ["leaf", "line"]).select("leaf", "template", "doc", "text_hash", "no")
     often = of_lines.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= documents)
-    dropped = (of_lines.join(often, ["leaf", "template"], "left_semi").select("text_hash", F.xxhash64("line").alias("h")).distinct()
-               .groupBy("text_hash").agg(F.collect_list("h").alias("hashes")))
+    dropped = of_lines.join(often, ["leaf", "template"], "left_semi").groupBy("text_hash").agg(F.collect_set("no").alias("nos"))
     joined = cols.df.withColumn("text_hash", F.xxhash64("_1")).join(dropped, "text_hash", "left")
-    split = F.split("_1", "\n")
-    left = F.filter(split, lambda x: ~F.array_contains("hashes", F.xxhash64(_masked(x))))
-    changed = F.col("hashes").isNotNull() & F.col("_1").isNotNull()
-    joined = joined.withColumn("left", F.when(changed, left))
-    return cols.restore(joined, text=F.when(changed, F.array_join("left", "\n")).otherwise(F.col("_1")),
-                        dropped=F.when(changed, F.size(split) - F.size("left")).otherwise(0))
+    changed = F.col("nos").isNotNull() & F.col("_1").isNotNull()
+    left = F.array_join(F.filter(F.split("_1", "\n"), lambda x, i: ~F.array_contains("nos", i)), "\n")
+    return cols.restore(joined, text=F.when(changed, left).otherwise(F.col("_1")), dropped=F.when(changed, F.size("nos")).otherwise(0))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
