@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontamination", "line_dedup", "records", "secret_scan", "mixing", "simhash", "quality", "warc")
+MODULES = ("sharding", "decontamination", "line_dedup", "lm_scoring", "records", "secret_scan", "mixing", "simhash", "quality", "warc")
 
 
 def _gather(attribute: str) -> dict:
