@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,17 @@ class Columns:
         return df.select(*old, *[c.alias(n) for n, c in new.items()])
 
 
+def filtered(df: DataFrame, needed: Sequence[str], keep: Callable[[pa.RecordBatch], Sequence[bool]]) -> DataFrame:
+    """The rows of ``df`` that ``keep`` says of a batch whose first columns are the needed ones, as they are."""
+    cols = Columns(df, needed)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    return cols.restore(cols.df.mapInArrow(some, cols.df.schema))
+
+
 _LETTER = np.ones(256, bool)
 _LETTER[:128] = [chr(i).isalnum() for i in range(128)]
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)

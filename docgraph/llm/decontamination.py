@@ -5,7 +5,7 @@ questions and answers; an item with fewer words, but ``least`` or more, is a
 pattern whole.  Each text is normalised the same way and scanned once.
 Matches of one item whose words overlap or touch are one span, given by
 character offsets into the original text; the offsets are worked out only for
-texts with a match.
+texts with a match; an item with a null id is one with that id.
 
 Normal form: the words (runs of letters, digits and combining marks) in NFKC
 and lower case, so that case, punctuation and white space don't matter.
@@ -33,7 +33,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docgraph.llm.common import Columns, table
+from docgraph.llm.common import Columns, filtered, table
 
 WORD = re.compile(f"[\\w{chr(0x300)}-{chr(0x36F)}]+")  # underscores are taken out of a text before
 WORDS, LEAST, MOST_WORDS = 8, 3, 20_000_000
@@ -100,7 +100,7 @@ def spans(text: str | None, a: ahocorasick.Automaton | None) -> list[tuple[int,
                 low, high = lo, hi
             high = max(high, hi)
         found.append((item, places[low][0], places[high - 1][1]))
-    return sorted(found)
+    return sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
 
 
 _built: dict[int, tuple] = {}
@@ -144,15 +144,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, least: int = LEAST, most_words: int = MOST_WORDS) -> DataFrame:
     """The documents that hold no passage of the benchmark, as they are."""
     shared = _shared(benchmark, words, least, most_words)
-    at = docs.columns.index("text")
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(b: pa.RecordBatch) -> list[bool]:
         a = _automaton_of(shared)
-        for b in batches:
-            kept = [a is None or not t or next(a.iter(normal(t)), None) is None for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(kept, pa.bool_()))
+        return [a is None or not t or next(a.iter(normal(t)), None) is None for t in b.column(0).to_pylist()]
 
-    return docs.mapInArrow(clean, docs.schema)
+    return filtered(docs, ["text"], clean)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import Columns, batches_of, mix64, span_hashes, table, text_bytes, word_spans
+from docgraph.llm.common import Columns, batches_of, filtered, mix64, span_hashes, table, text_bytes, word_spans
 
 BITS, PRIOR, TAIL, MOST_LABELLED = 17, 0.05, 0.002, 50_000
 SCORES = "doc_id bigint, ngrams bigint, score double, keep boolean"
@@ -159,14 +159,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, **how) ->
     """The documents that the rules keep, as they are."""
     w, threshold = fit(docs, labels, bits, **how)
     shared = docs.sparkSession.sparkContext.broadcast(w)
-    at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in batches_of(b, at):
-                yield part.filter(pa.array(scores(part.column(at), shared.value, bits)[1] >= threshold))
+    def keep(b: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *[scores(part.column(0), shared.value, bits)[1] >= threshold for part in batches_of(b, 0)]])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filtered(docs, ["text"], keep)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
