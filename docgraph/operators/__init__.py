@@ -1 +1 @@
-
+"""Operators over the relations objects, edges, refs, chunks and vectors."""
