@@ -55,8 +55,8 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def all_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """a, b, similarity of all ordered pairs of different vectors above the threshold."""
+def _blocked(vectors: DataFrame, key: str, vector: str, product, schema: str) -> DataFrame:
+    """``product`` (ids, ids, similarities of one side's rows to the other's, whether they are one side) of every pair of blocks."""
     v = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
     blocks = max(1, math.ceil(v.count() / BLOCK))
     v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -65,16 +65,46 @@ def all_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector:
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         m, ids, left = unit(np.stack(pdf["v"].to_numpy()).astype(np.float64)), pdf["id"].to_numpy(), (pdf["block"] == pdf["i"]).to_numpy()
-        right = left if pdf["i"].iloc[0] == pdf["j"].iloc[0] else ~left
-        s = m[left] @ m[right].T
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        right = left if same else ~left
+        return product(ids[left], ids[right], m[left] @ m[right].T, same)
+
+    return sides.groupBy("i", "j").applyInPandas(pairs, schema)
+
+
+def knn_all(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query, key, distance, rank: every vector's k nearest others by cosine distance, exactly; ties by key.
+
+    A pair of blocks gives each of its rows' k best; a window over those, k for each other block, finds the k in all.
+    """
+
+    def best(a: np.ndarray, b: np.ndarray, s: np.ndarray, same: bool) -> pd.DataFrame:
+        out = []
+        for q, x, d in [(a, b, np.round(1 - s, 12))] + ([] if same else [(b, a, np.round(1 - s.T, 12))]):
+            by = np.argsort(x, kind="stable")  # equal distances in the order of keys
+            x, d = x[by], d[:, by]
+            o = np.argsort(d, axis=1, kind="stable")[:, :k + 1]
+            out.append((np.repeat(q, o.shape[1]), x[o].ravel(), np.take_along_axis(d, o, 1).ravel()))
+        q, x, d = (np.concatenate([t[i] for t in out]) for i in range(3))
+        other = q != x
+        return pd.DataFrame({"query": q[other], key: x[other], "distance": d[other]})
+
+    w = Window.partitionBy("query").orderBy("distance", key)
+    return _blocked(vectors, key, vector, best, f"query bigint, {key} bigint, distance double").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def all_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """a, b, similarity of all ordered pairs of different vectors above the threshold."""
+
+    def above(a: np.ndarray, b: np.ndarray, s: np.ndarray, same: bool) -> pd.DataFrame:
         x, y = np.nonzero(s > threshold)
-        a, b, s = ids[left][x], ids[right][y], s[x, y]
-        if right is not left:
+        a, b, s = a[x], b[y], s[x, y]
+        if not same:
             a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
         keep = a != b
         return pd.DataFrame({"a": a[keep], "b": b[keep], "similarity": s[keep]})
 
-    return sides.groupBy("i", "j").applyInPandas(pairs, "a bigint, b bigint, similarity double")
+    return _blocked(vectors, key, vector, above, "a bigint, b bigint, similarity double")
 
 
 def inferred_edges(vectors: DataFrame, threshold: float = 0.7, most: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

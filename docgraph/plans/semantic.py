@@ -21,8 +21,9 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/embeddings.parquet")
 
 
-def _query(s: SparkSession, d: str, ids: tuple[int, ...] = (0,)) -> list:
-    return [(r[0], list(r[1])) for r in _vectors(s, d).filter(F.col("vec_id").isin(*ids)).select("vec_id", "embedding").collect()]
+def _query(s: SparkSession, d: str) -> list:
+    """The vector that stands for the query's text."""
+    return [(r[0], list(r[1])) for r in _vectors(s, d).filter("vec_id = 0").select("vec_id", "embedding").collect()]
 
 
 def _links(s: SparkSession) -> DataFrame:
@@ -61,7 +62,7 @@ def _edges50(s: SparkSession, d: str) -> DataFrame:
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
     v = _vectors(s, d)
-    hits = vector.knn(v, _query(s, d, (0, 1, 2, 3, 4)), 1 << 30)
+    hits = vector.knn_all(v, 20)
     label = v.select("vec_id", "label")
     own = v.select(F.col("vec_id").alias("query"), F.col("label").alias("wanted"))
     return hits.join(label, "vec_id").join(own, "query").select("query", "rank", (F.col("label") == F.col("wanted")).cast("int").alias("relevant"))
@@ -99,7 +100,7 @@ QUERIES = {
     "c_upsert": lambda s, d: text.upsert(*_two(s, d)),
     "f_bm25": lambda s, d: _rounded(text.keyword_search(_chunks(s, d), WORDS), "score"),
     "f_trigram": lambda s, d: _rounded(text.substring_search(_chunks(s, d), PART), "score"),
-    "f_knn_cosine": lambda s, d: _rounded(vector.knn(_vectors(s, d), _query(s, d, (0, 7, 42)), 10), "distance"),
+    "f_knn_cosine": lambda s, d: _rounded(vector.knn_all(_vectors(s, d), 10), "distance"),
     "f_fusion_semantic": lambda s, d: _rounded(_fused(s, d, WORDS), "score"),
     "f_fusion_id": lambda s, d: _rounded(_fused(s, d, ID), "score"),
     "f_group_by_object": lambda s, d: _rounded(_objects(s, d), "score"),
@@ -130,11 +131,11 @@ def _bm(name: str, terms: list[str]) -> str:
 _TRI = f"""sub_m AS (SELECT doc_id AS chunk_id, (length(lower(text)) - length(replace(lower(text), '{PART}', ''))) // {len(PART)} AS tf, length(text) AS dl FROM documents WHERE contains(lower(text), '{PART}')),
   sub AS (SELECT chunk_id, {_BM} AS score FROM sub_m, (SELECT count(*) AS df FROM sub_m), (SELECT count(*) AS n, avg(length(text)) AS avgdl FROM documents))"""
 _KNN = """vec AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-  near AS (SELECT q.vec_id AS query, x.vec_id, round(1 - list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v)), 12) AS distance FROM vec q, vec x WHERE q.vec_id IN ({ids}))"""
+  near AS (SELECT q.vec_id AS query, x.vec_id, round(1 - list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v)), 12) AS distance FROM vec q, vec x WHERE {which})"""
 
 
 def _fuse(terms: list[str], wd: float, ww: float, ws: float) -> str:
-    return f"""{_bm('kw', terms)}, {_TRI}, {_KNN.format(ids='0')},
+    return f"""{_bm('kw', terms)}, {_TRI}, {_KNN.format(which='q.vec_id = 0')},
   dense AS (SELECT vec_id AS chunk_id, distance FROM near ORDER BY distance, vec_id LIMIT 20), k20 AS (SELECT * FROM kw ORDER BY score, chunk_id LIMIT 20), s20 AS (SELECT * FROM sub ORDER BY score, chunk_id LIMIT 20),
   parts AS (SELECT chunk_id, {wd} * (1 - (distance - lo) / CASE WHEN hi <> lo THEN hi - lo ELSE 1 END) AS score FROM dense, (SELECT min(distance) AS lo, max(distance) AS hi FROM dense)
     UNION ALL SELECT chunk_id, {ww} * (abs(score) - lo) / CASE WHEN hi <> lo THEN hi - lo ELSE 1 END FROM k20, (SELECT min(abs(score)) AS lo, max(abs(score)) AS hi FROM k20)
@@ -162,7 +163,7 @@ ORACLE_SQL = {
     "c_upsert": f"SELECT chunk_id, CASE WHEN chunk_id % 10 = 2 THEN reverse(text_hash) ELSE text_hash END AS text_hash FROM {_H}",
     "f_bm25": f"WITH {_bm('kw', ['idiot', 'moron', 'the'])} SELECT chunk_id, round(score, 6) AS score FROM kw",
     "f_trigram": f"WITH {_TRI} SELECT chunk_id, round(score, 6) AS score FROM sub",
-    "f_knn_cosine": f"WITH {_KNN.format(ids='0, 7, 42')} SELECT query, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 10",
+    "f_knn_cosine": f"WITH {_KNN.format(which='q.vec_id <> x.vec_id')} SELECT query, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 10",
     "f_fusion_semantic": f"WITH {_SEM} SELECT chunk_id, round(score, 6) AS score FROM fused",
     "f_fusion_id": f"WITH {_fuse(['qmd17', 'qmd', '17', 'the'], 0.3, 0.7, 0.4)} SELECT chunk_id, round(score, 6) AS score FROM fused",
     "f_group_by_object": f"WITH {_SEM} SELECT object_id, round(score, 6) AS score FROM obj",
@@ -176,8 +177,8 @@ ORACLE_SQL = {
     "f_audit_suspicious": f"WITH {_PAIRS} SELECT source_id, target_id, round(similarity, 6) AS similarity FROM links JOIN pairs ON a = source_id AND b = target_id WHERE similarity < 0",
     "f_audit_missing": f"WITH {_PAIRS}, {_INF} SELECT i.source_id, i.target_id, round(i.similarity, 6) AS similarity FROM inferred i JOIN pairs p ON p.a = i.source_id AND p.b = i.target_id WHERE i.similarity > 0.3 AND la <> lb AND NOT EXISTS (SELECT 1 FROM links l WHERE least(l.source_id, l.target_id) = i.source_id AND greatest(l.source_id, l.target_id) = i.target_id)",
     "f_object_vectors": "SELECT label, array_to_string(list_transform([avg(embedding[1]), avg(embedding[2]), avg(embedding[3]), avg(embedding[4])], lambda x: printf('%.4f', x)), ',') AS head FROM embeddings GROUP BY 1",
-    "f_metrics_mrr_ndcg": f"WITH {_KNN.format(ids='0, 1, 2, 3, 4')}, r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, near.vec_id) AS rank, CASE WHEN x.label = q.label THEN 1 ELSE 0 END AS relevant FROM near JOIN vec x ON x.vec_id = near.vec_id JOIN vec q ON q.vec_id = query), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevant DESC, rank) AS best FROM r) "
+    "f_metrics_mrr_ndcg": f"WITH {_KNN.format(which='q.vec_id <> x.vec_id')}, r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, near.vec_id) AS rank, CASE WHEN x.label = q.label THEN 1 ELSE 0 END AS relevant FROM near JOIN vec x ON x.vec_id = near.vec_id JOIN vec q ON q.vec_id = query QUALIFY rank <= 20), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevant DESC, rank) AS best FROM r) "
                           "SELECT query, round(sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) / 10, 6) AS precision, round(sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) / greatest(sum(relevant), 1), 6) AS recall, round(coalesce(1 / min(CASE WHEN relevant > 0 THEN rank END), 0), 6) AS mrr, "
                           "round(sum(CASE WHEN rank <= 10 THEN relevant / log2(rank + 1) ELSE 0 END) / greatest(sum(CASE WHEN best <= 10 THEN relevant / log2(best + 1) ELSE 0 END), 1e-9), 6) AS ndcg FROM b GROUP BY 1",
-    "f_snippet": f"WITH a AS (SELECT doc_id, text, strpos(lower(text), '{PART}') AS at FROM documents) SELECT doc_id AS chunk_id, CASE WHEN at - 40 > 1 THEN '...' ELSE '' END || regexp_replace(CASE WHEN at > 0 THEN substr(text, greatest(1, at - 40), {80 + len(PART)}) ELSE substr(text, 1, 80) END, '\\s+', ' ', 'g') AS snippet FROM a",
+    "f_snippet": f"WITH a AS (SELECT doc_id, text, strpos(lower(text), '{PART}') AS pos FROM documents) SELECT doc_id AS chunk_id, CASE WHEN pos - 40 > 1 THEN '...' ELSE '' END || regexp_replace(CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 40), {80 + len(PART)}) ELSE substr(text, 1, 80) END, '\\s+', ' ', 'g') AS snippet FROM a",
 }
