@@ -138,6 +138,23 @@ def test_near_copies_are_those_of_all_pairs(spark):
     assert kept == set(range(len(texts))) - {i for i, k in got.items() if i != k}
 
 
+def test_the_tree_of_an_anchor_does_not_depend_on_the_order_of_its_rows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    prints = np.repeat(rng.integers(0, 1 << 63, (5, simhash.PARTS), dtype=np.uint64), 8, 0)
+    prints[:, 3] ^= np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)
+    found = set()
+    for turn in range(4):
+        o = rng.permutation(40)
+        columns = [pa.array(np.zeros(40, np.int32)), pa.array(np.arange(40)[o] % 3 == 0), pa.array(np.arange(40)[o]), *[pa.array(prints[o, k].view(np.int64)) for k in range(simhash.PARTS)]]
+        batch = pa.RecordBatch.from_arrays(columns, ["anchor", "home", "node", *simhash.NAMES])
+        cut = 10 * turn
+        out = simhash._compare(simhash.DISTANCE)(iter([b for b in (batch.slice(0, cut), batch.slice(cut)) if b.num_rows]))
+        found.add(tuple(sorted((r["a"], r["b"]) for b in out for r in b.to_pylist())))
+    assert len(found) == 1 and found.pop()
+
+
 def test_covering_code_meets_all_blocks_one_bit_apart():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 16, 500)
