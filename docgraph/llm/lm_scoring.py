@@ -71,8 +71,8 @@ def base_logits(pairs: np.ndarray) -> np.ndarray:
     return np.concatenate([out, np.log(one)[None]]).astype(np.float32)
 
 
-def windows(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (n x 2*STEP) and targets (n x STEP, -1 for none) of all windows, and the row of each.
+def windows(symbols: np.ndarray, starts: np.ndarray, share: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (n x 2*STEP) and targets (n x STEP, -1 for none) of all windows, or one in ``share`` of every row, and the row of each.
 
     ``symbols``: the rows' symbols on end, row r from starts[r] to starts[r+1].
     """
@@ -80,6 +80,9 @@ def windows(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     many = -(-size // STEP)
     row = np.repeat(np.arange(len(size)), many)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    if share > 1:
+        mine = (np.arange(len(row)) + 7 * row) % share == turn % share
+        row, nth = row[mine], nth[mine]
     place = nth[:, None] * STEP + np.arange(-STEP, STEP)[None, :]  # input i is the token before token i of the row
     at = starts[row][:, None] + place - 1
     x = np.where((place > 0) & (place <= size[row][:, None]), symbols[np.clip(at, 0, max(0, len(symbols) - 1))], np.where(place == 0, BOS, PAD))
@@ -274,9 +277,7 @@ def learn(tokens: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: int =
             for b in batches:
                 for part in batches_of(b, "ids", 1 << 20):
                     ids, starts = _ids(part.column(0))
-                    x, y, row = windows(m["symbol"][ids].astype(np.int64), starts)
-                    mine = (np.arange(len(x)) + 7 * row) % share == turn % share
-                    held.append((x[mine], y[mine]))
+                    held.append(windows(m["symbol"][ids].astype(np.int64), starts, share, turn)[:2])
                     steps(BATCH)
             steps(1)
             if seen:
