@@ -11,8 +11,9 @@ All of it is learnt from the corpus at hand.  Counts of ids and of neighbours
 cover every token of every document.  The attention model is trained by
 ``ROUNDS`` rounds of parallel stochastic gradient descent: every partition
 starts from the same weights, takes steps over its windows, and the weights
-are averaged by windows seen.  A round takes one window in ``SHARE`` of every
-document, another one each round; so training grows with the corpus.
+are averaged by windows seen.  The rounds deal the windows out among them, one
+in ``SHARE`` to each: with as many rounds as SHARE, every window of every
+document is trained on once, so training grows with the corpus.
 
 Scoring goes over all documents in windows of ``2 * STEP`` tokens that overlap
 by half: the first half is context, the tokens of the second are scored, each
@@ -31,6 +32,7 @@ result.  Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ from docgraph.llm.common import Columns, batches_of, table, written
 from docgraph.llm.records import default_vocabulary, tokens_of
 
 SYMBOLS, OWN, WIDTH, HIDDEN, STEP = 256, 192, 16, 32, 16
-ROUNDS, SHARE, BATCH, AT_ONCE, RATE = 2, 16, 128, 32, 0.004
+ROUNDS, SHARE, BATCH, AT_ONCE, RATE = 2, 2, 128, 32, 0.004
 BOS, PAD = SYMBOLS, SYMBOLS + 1
 SCORES = "doc_id bigint, tokens bigint, log_prob double, mean_log_prob double"
 _AHEAD = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None, :]
@@ -136,20 +138,27 @@ def log_probs(w: dict[str, np.ndarray], base: np.ndarray, x: np.ndarray, y: np.n
 
 
 def _scatter(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-    flat, g = x.ravel(), g.reshape(-1, WIDTH)
-    return np.stack([np.bincount(flat, g[:, i], minlength=SYMBOLS + 2) for i in range(WIDTH)], 1).astype(np.float32)
+    at = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    return np.bincount(at, g.ravel(), minlength=(SYMBOLS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+
+
+@functools.lru_cache(2)
+def _room(n: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two places for the logits of n targets, used again by every step."""
+    return np.empty((n, SYMBOLS), kind), np.empty((n, SYMBOLS), kind)
 
 
 def gradients(w: dict[str, np.ndarray], base: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the targets and its gradients."""
     q, k, v, s, c, e, h, r, u = heads(w, x)
-    p = u @ w["U"]
-    p += base[x[:, STEP:].ravel()]
+    p, b = (a[:y.size] for a in _room(max(y.size, BATCH * STEP), u.dtype.str))
+    np.matmul(u, w["U"], out=p)
+    p += np.take(base, x[:, STEP:].ravel(), axis=0, out=b, mode="clip") if base.dtype == p.dtype else base[x[:, STEP:].ravel()]
     t = y.ravel()
     live = t >= 0
     p -= p.max(1, keepdims=True)
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
+    p *= 1 / p.sum(1, keepdims=True)
     here = np.arange(len(t)), np.maximum(t, 0)
     n = max(1, int(live.sum()))
     loss = float(-np.log(p[here][live] + 1e-30).sum() / n)

@@ -231,6 +231,16 @@ def test_picked_windows_are_those_of_all():
         assert (a == x[mine]).all() and (b == y[mine]).all() and (r == row[mine]).all()
 
 
+def test_a_full_training_takes_every_window_once():
+    rng = np.random.default_rng(11)
+    starts = np.concatenate([[0], np.cumsum(rng.integers(0, 90, 60))])
+    symbols = rng.integers(0, lm_scoring.SYMBOLS, starts[-1])
+    rows = lambda x, y: Counter(np.concatenate([x, y], 1)[i].tobytes() for i in range(len(x)))
+    every = rows(*lm_scoring.windows(symbols, starts)[:2])
+    taken = sum((rows(*lm_scoring.windows(symbols, starts, lm_scoring.SHARE, turn)[:2]) for turn in range(lm_scoring.ROUNDS)), Counter())
+    assert taken == every
+
+
 def test_scores_by_windows_are_those_token_by_token():
     rng = np.random.default_rng(7)
     w = lm_scoring.first_weights()
