@@ -8,14 +8,22 @@ document, and of trusted documents (label quality 1, toxic 0).  The trusted
 one is mixed with ``prior`` parts of the raw one, so that what it never had
 doesn't count without bound.  A document's score is the mean over its n-grams
 of the log ratio; documents at the threshold or above are kept, every one by
-the same threshold.
+the same threshold, unless they are toxic.
+
+Toxic text may be fluent, so it has a ratio of its own: of each bucket, the
+share of toxic documents (label toxic 1, whatever their quality) that have it
+against the share of trusted ones, where the toxic documents with it are
+``SURE`` standard deviations more than the trusted ones let expect, else 0.  A
+document's toxicity is the mean over its n-grams.
 
 Of the labels, up to ``most_labelled`` rows are used, chosen by a hash of their
 id.  A second hash puts them in two halves: the trusted documents of one make
 the multinomial, the scores of the other set the threshold, as they are not
 flattered by having been counted: halfway between the lowest scores of its
 trusted documents (quantile ``tail``) and the highest of its documents of
-quality 0, or at the former where the two overlap.
+quality 0, or at the former where the two overlap.  The cut of toxicity is set
+alike, between the trusted documents (quantile ``toxic_tail`` from above) and
+the toxic ones.
 
 The first pass counts (each task sends one row a bucket, at most 2**BITS
 however many documents), the second scores, against a broadcast of 2**BITS
@@ -25,7 +33,8 @@ texts with array operations, not word by word.
 Nulls: a null or empty text, or one without any token, has no n-grams: its
 score is null and it isn't kept.  Labels without an id or a quality count for
 nothing; of repeated labels for one id the highest of each kind counts.
-Without trusted documents in both halves every text with tokens is kept.  Repeated rows count each time and score
+Without trusted documents in both halves every text with tokens is kept;
+without toxic ones in the first, none is dropped as toxic.  Repeated rows count each time and score
 alike.  An empty table gives an empty result.  Extra columns pass through
 ``keep_quality``, whatever their names, and are ignored by ``score_quality``.
 """
@@ -41,7 +50,7 @@ from pyspark.sql import functions as F
 
 from docgraph.llm.common import Columns, batches_of, filtered, mix64, span_hashes, table, text_bytes, word_spans
 
-BITS, PRIOR, TAIL, MOST_LABELLED = 17, 0.05, 0.002, 50_000
+BITS, PRIOR, TAIL, TOXIC_TAIL, SURE, MOST_LABELLED = 17, 0.05, 0.002, 0.01, 4, 50_000
 SCORES = "doc_id bigint, ngrams bigint, score double, keep boolean"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[33:128] = [not chr(i).isalnum() and chr(i) not in ".," for i in range(33, 128)]
@@ -88,12 +97,25 @@ def weights(raw: np.ndarray, trusted: np.ndarray, prior: float = PRIOR) -> np.nd
     return np.where(raw > 0, np.log(p / q), 0.0)
 
 
-def scores(texts: pa.Array, w: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams and score (NaN without any) of each text."""
+def toxic_weights(toxic: np.ndarray, clean: np.ndarray, documents: tuple[float, float]) -> np.ndarray:
+    """Log ratio of each bucket, from the toxic and the trusted documents with it and how many there are of either."""
+    if not min(documents):
+        return np.zeros(len(toxic), np.float64)
+    due = clean * (documents[0] / documents[1])
+    return np.where(toxic - due > SURE * np.sqrt(due + 1), np.log((toxic + 1) / (due + 1)), 0.0)
+
+
+def all_scores(texts: pa.Array, bits: int, *ws: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n-grams of each text and its score (NaN without any) by each of the weights."""
     buckets, rows = features(texts, bits)
     n = np.bincount(rows, minlength=len(texts))
-    total = np.bincount(rows, w[buckets], minlength=len(texts))
-    return n, np.where(n > 0, np.round(total / np.maximum(n, 1), 6), np.nan)
+    totals = (np.bincount(rows, w[buckets], minlength=len(texts)) for w in ws)
+    return n, *(np.where(n > 0, np.round(total / np.maximum(n, 1), 6), np.nan) for total in totals)
+
+
+def scores(texts: pa.Array, w: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams and score (NaN without any) of each text."""
+    return all_scores(texts, bits, w)
 
 
 def threshold_of(good: np.ndarray, bad: np.ndarray, tail: float = TAIL) -> float:
@@ -104,64 +126,86 @@ def threshold_of(good: np.ndarray, bad: np.ndarray, tail: float = TAIL) -> float
     return (low + high) / 2 if high < low else low
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, tail: float = TAIL, most_labelled: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
-    """The buckets' weights and the threshold."""
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, tail: float = TAIL, most_labelled: int = MOST_LABELLED, toxic_tail: float = TOXIC_TAIL) -> tuple[np.ndarray, float, np.ndarray, float]:
+    """The buckets' weights and the threshold; their weights for toxicity and the most that is kept."""
     named = Columns(labels, ["doc_id", "quality", "toxic"]).only().filter("doc_id is not null and quality is not null")
     ids = (named.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
            .orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-           .select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("half"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).when(F.col("quality") == 0, 0).otherwise(-1).alias("class")))
-    ids = F.broadcast(docs.sparkSession.createDataFrame(ids.toArrow()).filter("class >= 0"))  # most_labelled rows at most
+           .select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("half"), (F.col("toxic") == 1).alias("toxic"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).when(F.col("quality") == 0, 0).otherwise(-1).alias("class")))
+    ids = F.broadcast(docs.sparkSession.createDataFrame(ids.toArrow()).filter("class >= 0 or toxic"))  # most_labelled rows at most
     d = Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    marked = d.join(ids, d["doc_id"] == ids["id"], "left").select("text", F.expr("coalesce(half = 0 and class = 1, false)").alias("trusted"))
+    marked = d.join(ids, d["doc_id"] == ids["id"], "left").select("text", F.expr("coalesce(half = 0 and class = 1, false)").alias("trusted"), F.expr("coalesce(half = 0 and toxic, false)").alias("toxic"))
+    size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, 1 << bits), np.int64)
+        all_ = np.zeros((4, size + 1), np.int64)  # n-grams: raw, trusted; documents: trusted, toxic; at the end how many documents
         for b in batches:
             for part in batches_of(b, "text"):
                 buckets, rows = features(part.column(0), bits)
-                own = part.column(1).to_numpy(zero_copy_only=False).astype(bool)[rows]
-                both[0] += np.bincount(buckets, minlength=1 << bits)
-                both[1] += np.bincount(buckets[own], minlength=1 << bits)
-        some = np.flatnonzero(both[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(both[0][some]), pa.array(both[1][some])], ["bucket", "raw", "trusted"])
-
-    counted = (marked.mapInArrow(count, "bucket int, raw bigint, trusted bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow())
-    raw, trusted = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    at = counted.column("bucket").to_numpy()
-    raw[at], trusted[at] = counted.column("raw").to_numpy(), counted.column("trusted").to_numpy()
-    w = weights(raw, trusted, prior)
-    shared = docs.sparkSession.sparkContext.broadcast(w)
+                all_[0, :size] += np.bincount(buckets, minlength=size)
+                for k, column in ((2, 1), (3, 2)):
+                    chosen = part.column(column).to_numpy(zero_copy_only=False).astype(bool)
+                    own = chosen[rows]
+                    if k == 2:
+                        all_[1, :size] += np.bincount(buckets[own], minlength=size)
+                    once = np.unique(rows[own].astype(np.int64) * size + buckets[own])
+                    all_[k, :size] += np.bincount(once % size, minlength=size)
+                    all_[k, size] += len(np.unique(once // size))
+        some = np.flatnonzero(all_.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(a[some]) for a in all_)], ["bucket", *names])
+
+    names = ["raw", "trusted", "clean", "toxic"]
+    counted = marked.mapInArrow(count, "bucket int, " + ", ".join(f"{n} bigint" for n in names)).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    sums = np.zeros((4, size + 1), np.int64)
+    sums[:, counted.column("bucket").to_numpy()] = [counted.column(n).to_numpy() for n in names]
+    w = weights(sums[0, :size], sums[1, :size], prior)
+    v = toxic_weights(sums[3, :size], sums[2, :size], (sums[3, size], sums[2, size]))
+    shared = docs.sparkSession.sparkContext.broadcast((w, v))
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in batches_of(b, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(scores(part.column(0), shared.value, bits)[1], from_pandas=True)], ["class", "score"])
+                _, s, x = all_scores(part.column(0), bits, *shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(s, from_pandas=True), pa.array(x, from_pandas=True)], ["class", "toxic", "score", "toxicity"])
+
+    other = d.join(ids.filter("half = 1"), d["doc_id"] == ids["id"]).select("text", "class", "toxic").mapInArrow(held_out, "class int, toxic boolean, score double, toxicity double").filter("score is not null").toPandas()
+    of = lambda rows, column: other[column][rows].to_numpy()
+    good, toxic = other["class"] == 1, other["toxic"].astype(bool)
+    most = -threshold_of(-of(good, "toxicity"), -of(toxic, "toxicity"), toxic_tail) if v.any() else np.inf
+    return w, threshold_of(of(good, "score"), of(other["class"] == 0, "score"), tail), v, most
+
+
+def _judged(docs: DataFrame, labels: DataFrame, bits: int, **how):
+    """A function from texts to n-grams, score and whether it is kept, of each."""
+    w, threshold, v, most = fit(docs, labels, bits, **how)
+    shared = docs.sparkSession.sparkContext.broadcast((w, v))
+
+    def judge(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, s, x = all_scores(texts, bits, *shared.value)
+        return n, s, (s >= threshold) & (x <= most)
 
-    other = d.join(ids.filter("half = 1"), d["doc_id"] == ids["id"]).select("text", "class").mapInArrow(held_out, "class int, score double").filter("score is not null").toPandas()
-    return w, threshold_of(other["score"][other["class"] == 1].to_numpy(), other["score"][other["class"] == 0].to_numpy(), tail)
+    return judge
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, **how) -> DataFrame:
     """doc_id, number of n-grams, score and whether it is kept, of every document."""
-    w, threshold = fit(docs, labels, bits, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(w)
+    judge = _judged(docs, labels, bits, **how)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in batches_of(b, "text"):
-                n, s = scores(part.column(1), shared.value, bits)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(s, from_pandas=True), pa.array(s >= threshold)], ["doc_id", "ngrams", "score", "keep"])
+                n, s, kept = judge(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(s, from_pandas=True), pa.array(kept)], ["doc_id", "ngrams", "score", "keep"])
 
     return Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(score, SCORES)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, **how) -> DataFrame:
     """The documents that the rules keep, as they are."""
-    w, threshold = fit(docs, labels, bits, **how)
-    shared = docs.sparkSession.sparkContext.broadcast(w)
+    judge = _judged(docs, labels, bits, **how)
 
     def keep(b: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, bool), *[scores(part.column(0), shared.value, bits)[1] >= threshold for part in batches_of(b, 0)]])
+        return np.concatenate([np.zeros(0, bool), *[judge(part.column(0))[2] for part in batches_of(b, 0)]])
 
     return filtered(docs, ["text"], keep)
 

@@ -184,6 +184,16 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert {r.doc_id for r in quality.keep_quality(d, labels).collect()} == set(range(120))
 
 
+def test_quality_drops_fluent_toxic_text(spark):
+    fluent, junk = [prose(i % 7, 60) for i in range(240)], [" ".join(random.Random(i).choices(["BUY", "$$$", "click", "!!!", "win"], k=50)) for i in range(120)]
+    for i in range(0, 240, 3):
+        w = fluent[i].split()
+        fluent[i] = " ".join([*w[:20], "vile", *w[20:40], "clown", *w[40:]])
+    labels = spark.createDataFrame([(i, int(i < 240), int(i < 240 and i % 3 == 0)) for i in range(360) if i % 4], "doc_id bigint, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep_quality(docs(spark, fluent + junk), labels).collect()}
+    assert kept == {i for i in range(240) if i % 3}
+
+
 def test_quality_scores_are_sums_over_each_texts_own_features():
     import pyarrow as pa
 
