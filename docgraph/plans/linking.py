@@ -9,6 +9,7 @@ from docgraph.operators import graph, identity, validation
 from docgraph.plans.model import duck, relation
 
 START, WORKSPACE = "ASIA::region_2", "ASIA"
+NOT_ORDERS = "__kind <> 'Order'"  # the two queries whose SQL leaves orders out; those named _all take every object
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +32,14 @@ def _starts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(START,)], "id string")
 
 
-def _loaded_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _obj(spark, sf_dir).filter("__kind <> 'Order'")
+def _loaded_twice(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    o = _obj(spark, sf_dir).filter(which)
     again = o.filter("__line % 3 = 0").withColumns({"__label": F.concat(F.lit("new "), "__label"), "__file": F.lit("later.md")})
     return identity.last_writer(o.withColumn("ordinal", F.lit(0)).unionByName(again.withColumn("ordinal", F.lit(1)))).select("__global_id", "__label", "__file")
 
 
-def _doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _obj(spark, sf_dir).filter("__kind <> 'Order'")
+def _doubled(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    o = _obj(spark, sf_dir).filter(which)
     return o.unionByName(o.filter("__line % 5 = 0").withColumn("__file", F.lit("copy.md")))
 
 
@@ -52,14 +53,16 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "l_last_writer_wins": _loaded_twice,
+    "l_last_writer_wins": lambda s, d: _loaded_twice(s, d, NOT_ORDERS),
+    "l_last_writer_wins_all": _loaded_twice,
     "l_extract_refs": _refs,
     "l_typed_preamble": lambda s, d: _refs(s, d).filter("edge_type <> 'body'"),
     "l_resolve_cascade": lambda s, d: identity.resolve(_refs(s, d).distinct(), _obj(s, d)),
     "l_field_ref": lambda s, d: identity.resolve(_refs(s, d).filter("raw like '%.%'"), _obj(s, d)),
     "l_edges_dedup": lambda s, d: identity.build_edges(_texts(s, d), _obj(s, d)),
     "v_broken_links": lambda s, d: validation.broken_links(_refs(s, d), _obj(s, d)),
-    "v_duplicate_ids": lambda s, d: validation.duplicate_ids(_doubled(s, d)),
+    "v_duplicate_ids": lambda s, d: validation.duplicate_ids(_doubled(s, d, NOT_ORDERS)),
+    "v_duplicate_ids_all": lambda s, d: validation.duplicate_ids(_doubled(s, d)),
     "v_broken_parent": lambda s, d: validation.broken_parents(_orphans(s, d)),
     "v_ambiguous_refs": lambda s, d: validation.ambiguous_references(_merged(s, d).select("__workspace", F.lit("none").alias("__namespace"), F.col("__id").alias("raw")).distinct(), _merged(s, d)),
     "g_traverse_in": lambda s, d: graph.traverse(_obj(s, d), _edges(s, d), START, "incoming", None, 2),
@@ -109,6 +112,7 @@ def _with(body: str, *ctes: str) -> str:
 _STEP_IN = "WITH RECURSIVE walk(id, depth) AS (SELECT '{start}', 0 UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.id WHERE w.depth < {depth}) "
 ORACLE_SQL = {
     "l_last_writer_wins": duck("SELECT __global_id, CASE WHEN __line % 3 = 0 THEN 'new ' || __label ELSE __label END AS __label, CASE WHEN __line % 3 = 0 THEN 'later.md' ELSE __file END AS __file FROM objects WHERE __kind <> 'Order'"),
+    "l_last_writer_wins_all": duck("SELECT __global_id, CASE WHEN __line % 3 = 0 THEN 'new ' || __label ELSE __label END AS __label, CASE WHEN __line % 3 = 0 THEN 'later.md' ELSE __file END AS __file FROM objects"),
     "l_extract_refs": _with("SELECT * FROM refs", _REFS),
     "l_typed_preamble": _with("SELECT * FROM refs WHERE edge_type <> 'body'", _REFS),
     "l_resolve_cascade": _with("SELECT DISTINCT * FROM resolved", _REFS, _RESOLVED),
@@ -116,6 +120,7 @@ ORACLE_SQL = {
     "l_edges_dedup": _with("SELECT DISTINCT __workspace || ':' || __namespace || ':' || __id AS source_id, source_field, target_id, edge_type, target_field, __workspace FROM resolved WHERE target_id IS NOT NULL", _REFS, _RESOLVED),
     "v_broken_links": _with("SELECT r.__workspace, r.__namespace, r.__id, source_field, raw, edge_type, h.hint FROM resolved r LEFT JOIN (SELECT __id AS hid, min(__global_id) AS hint FROM objects GROUP BY 1) h ON h.hid = regexp_extract(raw, '([^.:]*)$', 1) WHERE target_id IS NULL", _REFS, _RESOLVED),
     "v_duplicate_ids": duck("SELECT __workspace, __namespace, __id, 2 AS n, 2 AS files, 1 AS kinds FROM objects WHERE __kind <> 'Order' AND __line % 5 = 0"),
+    "v_duplicate_ids_all": duck("SELECT __workspace, __namespace, __id, 2 AS n, 2 AS files, 1 AS kinds FROM objects WHERE __line % 5 = 0"),
     "v_broken_parent": duck("SELECT __global_id, __parent FROM objects o WHERE __parent IS NOT NULL AND NOT (__kind = 'Customer' AND __line % 4 = 0) AND NOT EXISTS (SELECT 1 FROM objects p WHERE p.__id = o.__parent AND NOT (p.__kind = 'Customer' AND p.__line % 4 = 0))"),
     "v_ambiguous_refs": duck("SELECT 'w' AS __workspace, 'none' AS __namespace, 'x' || CAST(__line AS STRING) AS raw, count(*) AS candidates FROM objects WHERE __kind IN ('Customer', 'Supplier', 'Nation') GROUP BY __line HAVING count(*) > 1"),
     "g_traverse_in": duck(_STEP_IN.format(start=START, depth=2) + "SELECT id, min(depth) AS depth, __kind, __label FROM walk JOIN objects ON __global_id = id GROUP BY ALL", "objects", "edges"),

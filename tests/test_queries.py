@@ -35,6 +35,11 @@ def test_query(spark, duck, name):
     assert canon(got.collect(), got.columns) == canon(want.fetchall(), cols)
 
 
+@pytest.mark.parametrize("name", ["l_last_writer_wins_all", "v_duplicate_ids_all"])
+def test_orders_are_taken_too(spark, name):
+    assert any("order" in "".join(map(str, r)).lower() for r in registry.queries()[name](spark, DATA).collect())
+
+
 def test_entry(spark):
     spec = importlib.util.spec_from_file_location("entry", Path(__file__).parent.parent / "__spark_entry__.py")
     entry = importlib.util.module_from_spec(spec)
