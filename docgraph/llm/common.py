@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def two_hashes(column: str) -> list[Column]:
+    """text_hash and text_hash2: 128 bits, so that texts of a corpus of any size don't meet by chance."""
+    return [F.xxhash64(column).alias("text_hash"), F.xxhash64(column, F.lit(1)).alias("text_hash2")]
+
+
 class Columns:
     """Positional view of a table, so that no name of its extra columns can clash.
 

@@ -236,7 +236,7 @@ def token_table(docs: DataFrame, vocabulary: str) -> DataFrame:
             for part in batches_of(b, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tokens.of(t) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
-    d = Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    d = Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").try_cast("bigint"))
     return written(d.mapInArrow(encode, "doc_id bigint, ids binary"), "token-ids")
 
 

@@ -129,11 +129,11 @@ def threshold_of(good: np.ndarray, bad: np.ndarray, tail: float = TAIL) -> float
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, prior: float = PRIOR, tail: float = TAIL, most_labelled: int = MOST_LABELLED, toxic_tail: float = TOXIC_TAIL) -> tuple[np.ndarray, float, np.ndarray, float]:
     """The buckets' weights and the threshold; their weights for toxicity and the most that is kept."""
     named = Columns(labels, ["doc_id", "quality", "toxic"]).only().filter("doc_id is not null and quality is not null")
-    ids = (named.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    ids = (named.groupBy(F.col("doc_id").try_cast("bigint").alias("id")).agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
            .orderBy(F.xxhash64("id"), "id").limit(most_labelled)
            .select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("half"), (F.col("toxic") == 1).alias("toxic"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).when(F.col("quality") == 0, 0).otherwise(-1).alias("class")))
     ids = F.broadcast(docs.sparkSession.createDataFrame(ids.toArrow()).filter("class >= 0 or toxic"))  # most_labelled rows at most
-    d = Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    d = Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").try_cast("bigint"))
     marked = d.join(ids, d["doc_id"] == ids["id"], "left").select("text", F.expr("coalesce(half = 0 and class = 1, false)").alias("trusted"), F.expr("coalesce(half = 0 and toxic, false)").alias("toxic"))
     size = 1 << bits
 
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, **how) -
                 n, s, kept = judge(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(s, from_pandas=True), pa.array(kept)], ["doc_id", "ngrams", "score", "keep"])
 
-    return Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(score, SCORES)
+    return Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").try_cast("bigint")).mapInArrow(score, SCORES)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, **how) -> DataFrame:

@@ -2,8 +2,9 @@
 
 One record is framed as in the TFRecord format: the length of the data (8
 bytes, little endian), its masked CRC-32C (4 bytes), the data, the data's
-masked CRC-32C (4 bytes).  The data are a document's token ids, 2 bytes each
-(little endian).  Every task writes one file of records; beside the files goes
+masked CRC-32C (4 bytes).  The data are a document's token ids, little endian,
+each of ``width`` bytes: 2 for a vocabulary of up to 65 536 ids, else 4.  The
+index says which.  Every task writes one file of records; beside the files goes
 an index table with the place of each record, so that a reader can shuffle
 records over the whole set and read any one by a seek.
 
@@ -46,7 +47,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same for texts whose white space stands alone, between two other characters: without the look ahead it runs faster.
 SINGLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"""
 ODD = re.compile(r"\s\s|\s$")
-INDEX = "doc_id bigint, file string, start_at bigint, bytes bigint, tokens bigint, checksum bigint"
+INDEX = "doc_id bigint, file string, start_at bigint, bytes bigint, tokens bigint, checksum bigint, width int"
 
 
 def default_vocabulary() -> str:
@@ -61,15 +62,16 @@ class Tokens:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.size = max(ranks.values()) + 1
+        self.width = 2 if self.size <= 1 << 16 else 4
         self.whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.single = tiktoken.Encoding("single", pat_str=SINGLE, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str | None) -> bytes:
-        """The text's token ids, 2 bytes each."""
+        """The text's token ids, ``width`` bytes each."""
         if not text:
             return b""
         odd = ODD.search(text) if not text.replace("\n", "").isprintable() else "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n"
-        return array("H", (self.whole if odd else self.single).encode_ordinary(text)).tobytes()
+        return array("H" if self.width == 2 else "I", (self.whole if odd else self.single).encode_ordinary(text)).tobytes()
 
 
 _tokens: dict[str, Tokens] = {}
@@ -157,7 +159,7 @@ def frame(data: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [b"".join((n, h.tobytes(), d, s.tobytes())) for n, h, d, s in zip(lengths, heads, data, sums)], sums
 
 
-def read_record(f, start: int) -> np.ndarray:
+def read_record(f, start: int, width: int = 2) -> np.ndarray:
     """The token ids of the record at ``start`` of an open file; raises ValueError if a checksum is wrong."""
     f.seek(start)
     head = f.read(12)
@@ -167,7 +169,7 @@ def read_record(f, start: int) -> np.ndarray:
     body = f.read(size + 4)
     if int(masked(crc32c([body[:size]]))[0]) != struct.unpack("<I", body[size:])[0]:
         raise ValueError(f"the record at {start} is damaged")
-    return np.frombuffer(body[:size], "<u2")
+    return np.frombuffer(body[:size], f"<u{width}")
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -195,12 +197,12 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None) -
                 starts = at + np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 out.write(b"".join(frames))
                 at += int(sizes.sum())
-                index.append(pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([name] * len(frames)), pa.array(starts), pa.array(sizes), pa.array((sizes - 16) // 2), pa.array(sums.astype(np.int64))], ["doc_id", "file", "start_at", "bytes", "tokens", "checksum"]))
+                index.append(pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * len(frames)), pa.array(starts), pa.array(sizes), pa.array((sizes - 16) // tokens.width), pa.array(sums.astype(np.int64)), pa.array(np.full(len(frames), tokens.width, np.int32))], ["doc_id", "file", "start_at", "bytes", "tokens", "checksum", "width"]))
         fs.move(f"{path}/_{name}", f"{path}/{name}")
         yield from index
 
     index = f"{folder}/index"
-    Columns(docs, ["doc_id", "text"]).only().mapInArrow(write, INDEX).write.parquet(index)
+    Columns(docs, ["doc_id", "text"]).only().withColumn("doc_id", F.col("doc_id").try_cast("bigint")).mapInArrow(write, INDEX).write.parquet(index)
     return docs.sparkSession.read.schema(INDEX).parquet(index)
 
 

@@ -28,6 +28,25 @@ def test_sharding_places_every_key_as_a_walk_of_the_ring_does(spark):
     assert {k for k in got if got[k] == first[k]} >= {k for k in got if first[k] not in full}
 
 
+@pytest.mark.parametrize("keys, shards, vnodes, slack", [(500, 7, 16, 0.05), (3000, 5, 4, 0.0), (40, 9, 3, 0.5)])
+def test_sharding_is_a_plain_clockwise_walk(spark, keys, shards, vnodes, slack):
+    """Own keys first, then, step by step, what is left of each arc tries the next place; keys of an arc in order of hash and key."""
+    at, owner = sharding.ring(shards, vnodes)
+    hashed = sorted((r.h, str(r.id)) for r in spark.range(keys).selectExpr("id", "xxhash64(cast(id as string)) as h").collect())
+    arcs = {}
+    for h, k in hashed:
+        arcs.setdefault(int(np.searchsorted(at, h)), []).append(k)
+    room, want = [math.ceil((1 + slack) * keys / shards)] * shards, {}
+    for step in range(len(at)):
+        for arc in sorted(arcs):
+            s = int(owner[(arc + step) % len(at)])
+            while arcs[arc] and room[s]:
+                want[int(arcs[arc].pop(0))] = s
+                room[s] -= 1
+    got = {r.doc_id: r.shard for r in sharding.assign_shards(docs(spark, ["x"] * keys), shards, vnodes, slack).collect()}
+    assert got == want
+
+
 def test_sharding_moves_few_keys_when_a_shard_is_added(spark):
     d = docs(spark, ["x"] * 2000)
     a, b = ({r.doc_id: r.shard for r in sharding.assign_shards(d, n, 64, 0.25).collect()} for n in (10, 11))
@@ -59,6 +78,93 @@ def test_decontamination_finds_what_word_windows_find(spark):
         assert " ".join(plain(texts[r.doc_id][r.start_at:r.end_at])) in " ".join(plain(items[r.item_id]))
 
 
+def test_short_answers_count_with_their_question(spark):
+    question = prose(5000, 12)
+    bench = spark.createDataFrame([(1, question), (1, "Ulan Bator"), (2, "Timbuktu")], "item_id bigint, text string")
+    texts = [question + " so ulan, bator it is", "the answer is Ulan Bator today", "on to timbuktu!", "timbuktus"]
+    got = decontamination.find_leaks(docs(spark, texts), bench).collect()
+    assert sorted((r.doc_id, r.item_id, texts[r.doc_id][r.start_at:r.end_at]) for r in got) == [(0, 1, question), (0, 1, "ulan, bator"), (2, 2, "timbuktu")]
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench).collect()} == {1, 3}
+
+
+def test_decontamination_names_the_items_it_was_given(spark):
+    text = prose(77, 30)
+    for item in (5, 99):
+        bench = spark.createDataFrame([(item, text)], "item_id bigint, text string")
+        assert [r.item_id for r in decontamination.find_leaks(docs(spark, [text]), bench).collect()] == [item]
+
+
+def test_a_benchmark_over_many_automata_is_found_whole(spark):
+    items = [prose(1000 + i, 20) for i in range(12)]
+    texts = [prose(i, 30) + " " + items[i % 12] + " " + items[(i + 5) % 12] for i in range(0, 24, 2)] + [prose(i, 30) for i in range(5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    a, b = (sorted(map(tuple, decontamination.find_leaks(docs(spark, texts), bench, most_words=n).collect())) for n in (60, 10**6))
+    assert a == b and a
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench, most_words=60).collect()} == set(range(12, 17))
+
+
+def plain_templates(texts, documents):
+    """Lines dropped, by a plain reading of the method: a tree of token count and leading tokens, lines in order."""
+    leaves = {}
+    for d, t in enumerate(texts):
+        for i, line in enumerate(t.split("\n")):
+            w = tuple("<*>" if any(c.isdigit() and c.isascii() for c in x) else x for x in line.split())
+            if w:
+                leaves.setdefault((len(w), w[:3]), {}).setdefault(" ".join(w), []).append((d, i))
+    out = {d: set() for d in range(len(texts))}
+    for own in leaves.values():
+        if len({d for places in own.values() for d, _ in places}) < documents:
+            continue
+        templates = []
+        for line in sorted(own):
+            w = line.split()
+            best, most = None, -1
+            for t in templates:
+                agree = sum(a == b != "<*>" for a, b in zip(t[0], w))
+                if agree > most:
+                    best, most = t, agree
+            if best and most >= 0.7 * len(w):
+                best[0] = [a if a == b else "<*>" for a, b in zip(best[0], w)]
+            else:
+                best = [w, []]
+                templates.append(best)
+            best[1].extend(own[line])
+        for _, places in templates:
+            if len({d for d, _ in places}) >= documents:
+                for d, i in places:
+                    out[d].add(i)
+    return out
+
+
+def test_line_dedup_is_that_of_a_plain_tree(spark):
+    rng = random.Random(12)
+    common = ["Read more", "Home", "user <id> was seen at node <id> again today", "all rights are kept by the owner of this page", "page <id> of <id>"]
+    texts = []
+    for i in range(60):
+        lines = [prose(i * 50 + j, rng.randint(1, 14)) for j in range(rng.randint(1, 6))]
+        for c in rng.sample(common, rng.randint(0, 4)):
+            w = [str(rng.randint(0, 99)) if x == "<id>" else x for x in c.split()]
+            if len(w) > 5 and rng.random() < 0.4:
+                w[rng.randrange(4, len(w))] = prose(rng.randint(0, 999), 1)
+            lines.insert(rng.randint(0, len(lines)), ("  " if rng.random() < 0.2 else " ").join(w))
+        texts.append("\n".join(lines))
+    want = plain_templates(texts, 5)
+    got = {r.doc_id: r for r in line_dedup.drop_recurring_lines(docs(spark, texts)).collect()}
+    assert sum(map(len, want.values())) > 60
+    for d, t in enumerate(texts):
+        assert got[d]["dropped"] == len(want[d]) and got[d].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]), d
+
+
+def test_records_of_wide_vocabularies(tmp_path):
+    tokens = records.Tokens(records.default_vocabulary())
+    tokens.width = 4
+    data, _ = records.frame([tokens.of("some text"), b""])
+    (tmp_path / "f").write_bytes(b"".join(data))
+    with open(tmp_path / "f", "rb") as f:
+        assert tokens.whole.decode(records.read_record(f, 0, 4).tolist()) == "some text"
+        assert len(records.read_record(f, len(data[0]), 4)) == 0
+
+
 def test_line_dedup_drops_templates_that_recur(spark):
     texts = [prose(i, 30) + f"\nUser {i * 7} logged in from host{i} at 10:{i}\n" + prose(i + 300, 9) + "\nall rights reserved" for i in range(12)]
     texts += [prose(900, 30) + "\nseen only here 5 times by chance alone"]
@@ -184,6 +290,37 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert {r.doc_id for r in quality.keep_quality(d, labels).collect()} == set(range(120))
 
 
+def test_quality_is_that_of_plain_counts(spark):
+    """Weights, prior, halves, threshold and scores again, with dictionaries of n-grams instead of hashed buckets."""
+    good, junk = [prose(i % 9, 30 + i % 5) for i in range(60)], [" ".join(random.Random(i).choices(["BUY", "now", "click", "win", "it"], k=30)) for i in range(60)]
+    texts = good + junk
+    d, labels = docs(spark, texts), [(i, int(i < 60), int(i % 7 == 0)) for i in range(120) if i % 3]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    half = {r.id: r.h for r in spark.createDataFrame([(i,) for i, *_ in labels], "id bigint").selectExpr("id", "pmod(xxhash64(id, 1), 2) as h").collect()}
+
+    def grams(t):
+        out, before = [], None
+        for w in t.split():
+            x = "<again>" if w.lower() == before else "<capitals>" if w.isupper() and len(w) > 1 else w.lower()
+            before = w.lower()
+            out.append(x)
+        return out + list(zip(out, out[1:]))
+
+    own = [grams(t) for t in texts]
+    raw = Counter(g for o in own for g in o)
+    trusted = Counter(g for i, q, t in labels if q == 1 and t == 0 and half[i] == 0 for g in own[i])
+    n, m = sum(raw.values()), sum(trusted.values())
+    w = {g: math.log((trusted[g] / m + quality.PRIOR * c / n) / (1 + quality.PRIOR) / (c / n)) for g, c in raw.items()}
+    want = [sum(w[g] for g in o) / len(o) for o in own]
+    rows = {r.doc_id: r for r in quality.score_quality(d, table, bits=22).collect()}
+    close = sum(abs(rows[i].score - want[i]) < 2e-5 for i in range(120))
+    assert close >= 118 and all(rows[i].ngrams == len(own[i]) for i in range(120))  # two may have a bucket with another n-gram's
+    held = lambda q: sorted(want[i] for i, k, t in labels if k == q and (t == 0 or q == 0) and half[i] == 1)
+    low, high = held(1)[0], held(0)[-1]
+    cut = (low + high) / 2 if high < low else low
+    assert all(rows[i]["keep"] == (want[i] >= cut) for i in range(120) if abs(want[i] - cut) > 1e-4)
+
+
 def test_quality_drops_fluent_toxic_text(spark):
     fluent, junk = [prose(i % 7, 60) for i in range(240)], [" ".join(random.Random(i).choices(["BUY", "$$$", "click", "!!!", "win"], k=50)) for i in range(120)]
     for i in range(0, 240, 3):
