@@ -7,7 +7,7 @@ columns of its input; the last adds the shard.  A mixture repeats documents:
 rows of one document go to one shard unless that one fills up.
 
 SQL can't express quality rules, fingerprints or an automaton: ORACLE_SQL is
-None, and tests hold run() against the stages' plain versions.
+None, and tests hold run() against the stages in turn, applied to plain rows.
 
 Nulls, empty tables, repeated rows and extra columns: as the operators say.  A
 document with a null, empty or word-less text ends at the first stage.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgraph.llm.common import table, written
 from docgraph.llm.decontamination import decontaminate
-from docgraph.llm.mixing import mix
+from docgraph.llm.mixing import WEIGHTS, mix
 from docgraph.llm.quality import keep_quality
 from docgraph.llm.sharding import assign_shards
 from docgraph.llm.simhash import drop_near_copies
@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, out=None)
+    return mix(docs, WEIGHTS, out=None)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
