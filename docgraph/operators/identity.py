@@ -27,13 +27,14 @@ def last_writer(objects: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return objects.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def extract_references(texts: DataFrame, text: str, field: str, *keep: str) -> DataFrame:
+def extract_references(texts: DataFrame, text: str, field: str | Column, *keep: str) -> DataFrame:
     """Every reference of a text with its type: that of its preamble item, else the field's name.
 
     A preamble is a leading list, up to the first blank line, all items of
     which are ``- type: [[#ref]](, [[#ref]])*``; if one is not, there is none.
     Later references to a target of the preamble are left out.
     """
+    own = F.lit(field) if isinstance(field, str) else field
     head = F.split(F.col(text), "\n\n")[0]
     items = F.split(F.trim(head), "\n")
     typed = F.forall(items, lambda x: x.rlike(_ITEM))
@@ -41,9 +42,9 @@ def extract_references(texts: DataFrame, text: str, field: str, *keep: str) -> D
     pre = F.when(typed, F.flatten(F.transform(items, lambda x: F.transform(found(x), lambda r: F.struct(r.alias("target"), F.regexp_extract(x, r"^- ([^:\[\]]+):", 1).alias("edge_type"))))))
     pre = F.coalesce(pre, F.array().cast("array<struct<target:string,edge_type:string>>"))
     rest = F.when(typed, F.substring(F.col(text), F.length(head) + 1, F.length(F.col(text)))).otherwise(F.col(text))
-    out = texts.filter(F.col(text).contains("[[#")).select(*keep, pre.alias("_pre"), found(rest).alias("_rest"))
-    out = out.withColumn("_other", F.transform(F.filter("_rest", lambda r: ~F.exists("_pre", lambda p: p["target"] == r)), lambda r: F.struct(r.alias("target"), F.lit(field).alias("edge_type"))))
-    return out.select(*keep, F.lit(field).alias("source_field"), F.explode(F.concat("_pre", "_other")).alias("_r")).select(*keep, "source_field", F.col("_r.target").alias("raw"), F.col("_r.edge_type").alias("edge_type"))
+    out = texts.filter(F.col(text).contains("[[#")).select(*keep, own.alias("_own"), pre.alias("_pre"), found(rest).alias("_rest"))
+    out = out.withColumn("_other", F.transform(F.filter("_rest", lambda r: ~F.exists("_pre", lambda p: p["target"] == r)), lambda r: F.struct(r.alias("target"), F.col("_own").alias("edge_type"))))
+    return out.select(*keep, F.col("_own").alias("source_field"), F.explode(F.concat("_pre", "_other")).alias("_r")).select(*keep, "source_field", F.col("_r.target").alias("raw"), F.col("_r.edge_type").alias("edge_type"))
 
 
 def resolve(refs: DataFrame, objects: DataFrame, ref: str = "raw") -> DataFrame:
@@ -79,8 +80,21 @@ def resolve(refs: DataFrame, objects: DataFrame, ref: str = "raw") -> DataFrame:
             .select(*[F.col(c) for c in refs.columns], F.col("b.g").alias("target_id"), F.coalesce("b.field", F.lit("")).alias("target_field")))
 
 
-def build_edges(texts: DataFrame, objects: DataFrame, text: str = "body", field: str = "body") -> DataFrame:
+def build_edges(texts: DataFrame, objects: DataFrame, text: str = "body", field: str | Column = "body") -> DataFrame:
     """Resolved edges of the references in texts: dangling ones give none, repeated ones one."""
     refs = extract_references(texts, text, field, "__workspace", "__namespace", "__id")
     r = resolve(refs, objects).filter("target_id is not null")
     return r.select(global_id(F.col("__workspace"), F.col("__namespace"), F.col("__id")).alias("source_id"), "source_field", "target_id", "edge_type", "target_field", "__workspace").dropDuplicates()
+
+
+def data_texts(objects: DataFrame) -> DataFrame:
+    """__workspace, __namespace, __id, field, body: the strings of the objects' ``data`` that have references, those in arrays too; maps aren't descended into."""
+    each = objects.select("__workspace", "__namespace", "__id", F.try_parse_json("data").alias("v")).lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    kind = F.schema_of_variant("value")
+    texts = F.when(kind == "STRING", F.array(F.col("value").cast("string"))).when(kind.startswith("ARRAY<") & ~kind.contains("OBJECT"), F.array(F.to_json("value")))
+    return each.select("__workspace", "__namespace", "__id", F.col("key").alias("field"), F.explode(texts).alias("body")).filter(F.col("body").contains("[[#"))
+
+
+def data_references(objects: DataFrame) -> DataFrame:
+    """References of the objects' ``data``, by field."""
+    return extract_references(data_texts(objects), "body", F.col("field"), "__workspace", "__namespace", "__id")
