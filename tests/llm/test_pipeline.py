@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from data import AWKWARD, awkward, awkward_rows, key, prose
+from data import awkward, awkward_rows, key, prose
 from docgraph.llm import decontamination, mixing, quality, simhash
 
 corpus_pipeline = importlib.import_module("corpus_pipeline")
@@ -64,7 +64,7 @@ ORDER = ["quality rules", "SimHash near-dedup", "benchmark decontamination", "mi
 
 
 def test_stages_on_awkward_tables(spark, tmp_path):
-    folder = tables(spark, tmp_path, awkward_rows(), AWKWARD, [(1, 1, 0), (2, 1, None), (None, 1, 0), (6, 0, 0)], [(1, prose(2, 60)), (None, None)])
+    folder = tables(spark, tmp_path, [], COLUMNS, [(1, 1, 0), (2, 1, None), (None, 1, 0), (6, 0, 0)], [(1, prose(2, 60)), (None, None)])
     every = {key(r) for r in awkward_rows()}
     for name, stage in corpus_pipeline.STAGES:
         for empty in (False, True):
