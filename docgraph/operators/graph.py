@@ -8,10 +8,11 @@ loss costs one hop.  No set is collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.storage import written
+from docgraph.storage import discard, written
 
 
 def steps(edges: DataFrame, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
@@ -59,38 +60,43 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "outgoing")
     return walk(starts, steps(edges, direction), None)
 
 
-def find_path(edges: DataFrame, start: str, end: str, edge_type: str | None = None, most: int = 50) -> DataFrame:
-    """One row: the shortest undirected path (of several the least in order) and its length; none if there is no path.
+def find_path(edges: DataFrame, start: str, end: str, edge_type: str | None = None) -> DataFrame:
+    """One row: the shortest undirected path (of several the least in order) and its length; none if there is no path, however far it goes.
 
     Each hop keeps one least path a node, found along the nodes' parents.
     """
     spark = edges.sparkSession
     hops = written(steps(edges, "both", edge_type), "walk")
     frontier = visited = written(spark.createDataFrame([(start, [start])], "id string, path array<string>"), "walk")
-    for _ in range(most + 1):
+    while True:
         hit = frontier.filter(F.col("id") == end)
         if not hit.isEmpty():
             return hit.select("path", (F.size("path") - 1).alias("length"))
         new = frontier.join(hops, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("p"))
         frontier = written(new.join(visited.select("id"), "id", "left_anti").select("id", F.concat("p", F.array("id")).alias("path")), "walk")
         if frontier.isEmpty():
-            break
+            return spark.createDataFrame([], "path array<string>, length int")
         visited = visited.unionByName(frontier)
-    return spark.createDataFrame([], "path array<string>, length int")
 
 
 def descendants(objects: DataFrame) -> DataFrame:
-    """node, top, depth: the topmost ancestor of every object by parents, and how far it is."""
-    hops = objects.filter("__parent is not null").select(F.col("__id").alias("src"), F.col("__parent").alias("dst"))
-    up = written(objects.select(F.col("__id").alias("node")).distinct().select("node", F.col("node").alias("top"), F.lit(0).alias("depth")), "walk")
-    hops = written(hops.distinct(), "walk")
-    for _ in range(64):
-        next_ = written(up.join(hops, F.col("top") == F.col("src"), "left").select("node", F.coalesce("dst", "top").alias("top"), F.when(F.col("dst").isNotNull(), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"), F.col("dst").isNotNull().alias("moved")), "walk")
+    """node, top, depth: the topmost ancestor of every object by parents, and how far it is; null of what hangs on a circle of parents.
+
+    Every round doubles how far each node looks, so a tree takes as many rounds as its depth has bits.
+    """
+    ids = objects.select(F.col("__id").alias("node")).distinct()
+    up_one = objects.filter("__parent is not null").groupBy(F.col("__id").alias("c")).agg(F.min("__parent").alias("p"))
+    up = written(ids.join(up_one, F.col("node") == F.col("c"), "left").select("node", F.coalesce("p", "node").alias("top"), F.col("p").isNotNull().cast("int").alias("depth")), "walk")
+    for _ in range(max(1, ids.count()).bit_length() + 1):
+        far = up.select(F.col("node").alias("via"), F.col("top").alias("further"), F.col("depth").alias("more"))
+        next_ = written(up.join(far, F.col("top") == F.col("via"), "left").select(
+            "node", F.coalesce("further", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), "walk")
         moved = not next_.filter("moved").isEmpty()
-        up = next_.drop("moved")
+        discard(up)
+        up = next_
         if not moved:
-            break
-    return up
+            return up.drop("moved")
+    return up.select("node", F.when(~F.col("moved"), F.col("top")).alias("top"), F.when(~F.col("moved"), F.col("depth")).alias("depth"))
 
 
 def tree(objects: DataFrame, hidden: tuple[str, ...] = ("__TextBlock", "__Document")) -> DataFrame:
@@ -104,11 +110,27 @@ def tree(objects: DataFrame, hidden: tuple[str, ...] = ("__TextBlock", "__Docume
 
 
 def level_parents(objects: DataFrame) -> DataFrame:
-    """The nearest object before it in its file with a lower level, for each object."""
-    a = objects.select("__file", "__line", "__level", "__global_id")
-    b = a.select(F.col("__file").alias("f"), F.col("__line").alias("l"), F.col("__level").alias("v"), F.col("__global_id").alias("g"))
-    j = a.join(b, (F.col("__file") == F.col("f")) & (F.col("l") < F.col("__line")) & (F.col("v") < F.col("__level")), "left")
-    return j.groupBy("__global_id").agg(F.max_by("g", F.struct("l", "g")).alias("parent_id"))
+    """The nearest object on a line before it in its file with a lower level, for each object (of one line the greatest id).
+
+    One pass over each file in order, with a stack; a file's objects are one group.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["__line"], pdf["__global_id"], pdf["__level"]))
+        stack: list[tuple[int, str]] = []
+        out, waiting = [], []
+        for n, (line, gid, level) in enumerate(rows):
+            if n and line != rows[n - 1][0]:
+                for lv, g in waiting:
+                    while stack and stack[-1][0] >= lv:
+                        stack.pop()
+                    stack.append((lv, g))
+                waiting = []
+            out.append((gid, next((g for lv, g in reversed(stack) if lv < level), None)))
+            waiting.append((level, gid))
+        return pd.DataFrame(out, columns=["__global_id", "parent_id"])
+
+    return objects.select("__file", "__line", "__level", "__global_id").groupBy("__file").applyInPandas(one, "__global_id string, parent_id string")
 
 
 def find_references(edges: DataFrame, objects: DataFrame, target: str) -> DataFrame:
@@ -125,9 +147,9 @@ def search(objects: DataFrame, text: str, namespace: str | None = None) -> DataF
 
 def fuzzy(objects: DataFrame, letters: str) -> DataFrame:
     """Objects whose id has the letters in that order."""
-    import re
+    from docgraph.functions.text import subsequence
 
-    return objects.filter(F.lower("__id").rlike(".*".join(re.escape(c) for c in letters.lower())))
+    return objects.filter(subsequence(F.col("__id"), letters))
 
 
 def rename_plan(refs: DataFrame, objects: DataFrame, old: str, new: str) -> DataFrame:

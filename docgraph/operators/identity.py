@@ -98,3 +98,8 @@ def data_texts(objects: DataFrame) -> DataFrame:
 def data_references(objects: DataFrame) -> DataFrame:
     """References of the objects' ``data``, by field."""
     return extract_references(data_texts(objects), "body", F.col("field"), "__workspace", "__namespace", "__id")
+
+
+def edges_of_data(objects: DataFrame) -> DataFrame:
+    """Resolved edges of the references in the objects' ``data``."""
+    return build_edges(data_texts(objects), objects, "body", F.col("field"))

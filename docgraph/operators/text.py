@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -21,7 +21,7 @@ def words(c: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Terms, OR-ed: those of the query, and for an id like QMD-17 its parts and both together."""
+    """Terms, OR-ed: those of the query, and for an id like ABC-17 its parts and both together."""
     terms = []
     for part in query.split():
         m = re.fullmatch(r"([A-Za-z]+)-(\d+)", part)
@@ -55,6 +55,38 @@ def _is(x: str):
     return lambda y: y == x
 
 
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """term, key, tf, dl: which chunks have which words; written once, by term, it spares every later query the texts."""
+    t = chunks.select(key, words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    return t.select(key, "dl", F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def trigram_postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """gram, key: which chunks have which three characters."""
+    low = F.lower(F.col(text))
+    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    return chunks.filter(F.length(text) > 2).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def corpus_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """One row: n and avgdl, in words."""
+    return chunks.select(F.size(words(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def posting_search(held: DataFrame, facts: DataFrame, query: str, key: str = "chunk_id") -> DataFrame:
+    """keyword_search from postings and corpus facts: only the query's terms are read."""
+    hit = held.filter(F.col("term").isin(query_terms(query)))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(facts)).groupBy(key).agg(F.sum(_bm25()).alias("score"))
+
+
+def trigram_candidates(held: DataFrame, query: str, key: str = "chunk_id") -> DataFrame:
+    """The chunks that have all three-character parts of a query; those with the query whole are among them."""
+    q = query.lower()
+    grams = list(dict.fromkeys(q[i:i + 3] for i in range(len(q) - 2)))
+    return held.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)).select(key)
+
+
 def substring_search(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """key, score of every chunk that has the whole query, whatever the case; queries under 3 characters have no hits."""
     q = query.lower()
@@ -92,14 +124,15 @@ def snippet(text: Column, term: str, around: int = 40) -> Column:
     return F.concat(F.when((at > 0) & (begin > 1), "...").otherwise(""), F.regexp_replace(cut, r"\s+", " "))
 
 
-def relevance_metrics(ranked: DataFrame, k: int) -> DataFrame:
-    """``ranked``: query, rank (from 1), relevant (0/1), of all judged items. P@k, R@k, reciprocal rank and NDCG@k of each query."""
+def relevance_metrics(ranked: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """P@k, R@k, reciprocal rank and NDCG@k of each query.
+
+    ``ranked``: query, rank (from 1), relevant (0/1) of what was retrieved; ``totals``: query, relevant, how many of all judged items are.
+    """
     near = F.col("rank") <= k
     gain = F.col("relevant") / F.log2(F.col("rank") + 1)
-    ideal = Window.partitionBy("query").orderBy(F.col("relevant").desc(), "rank")
-    r = ranked.withColumn("best", F.row_number().over(ideal))
-    return r.groupBy("query").agg(
-        (F.sum(F.when(near, F.col("relevant")).otherwise(0)) / k).alias("precision"),
-        (F.sum(F.when(near, F.col("relevant")).otherwise(0)) / F.greatest(F.sum("relevant"), F.lit(1))).alias("recall"),
-        F.coalesce(1 / F.min(F.when(F.col("relevant") > 0, F.col("rank"))), F.lit(0.0)).alias("mrr"),
-        (F.sum(F.when(near, gain).otherwise(0)) / F.greatest(F.sum(F.when(F.col("best") <= k, F.col("relevant") / F.log2(F.col("best") + 1)).otherwise(0)), F.lit(1e-9))).alias("ndcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(k), F.col("total").cast("int")))), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    r = ranked.groupBy("query").agg(F.sum(F.when(near, F.col("relevant")).otherwise(0)).alias("hits"), F.min(F.when(F.col("relevant") > 0, F.col("rank"))).alias("first"), F.sum(F.when(near, gain).otherwise(0)).alias("dcg"))
+    j = totals.select("query", F.col("relevant").alias("total")).join(r, "query", "left")
+    of = lambda n: F.when(F.col("total") > 0, n).otherwise(0.0)
+    return j.select("query", (F.coalesce("hits", F.lit(0)) / k).alias("precision"), of(F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), of(F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"))

@@ -23,6 +23,53 @@ def duplicate_ids(objects: DataFrame) -> DataFrame:
     return g.filter("n > 1 and (files > 1 or kinds > 1) and coalesce(generated, 0) = 0").drop("generated")
 
 
+def duplicate_rows(objects: DataFrame) -> DataFrame:
+    """Every object but the first of each duplicate id (see duplicate_ids), with the first and the number of all."""
+    d = duplicate_ids(objects).select("__workspace", "__namespace", "__id")
+    w = Window.partitionBy("__workspace", "__namespace", "__id").orderBy("__file", "__line", "__kind")
+    place = F.concat_ws(":", F.coalesce("__file", F.lit("")), F.col("__line").cast("string"))
+    o = objects.join(d, ["__workspace", "__namespace", "__id"], "left_semi").withColumns({"nth": F.row_number().over(w), "first": F.first(place).over(w)})
+    return o.filter("nth > 1").select("__workspace", "__namespace", "__id", "__kind", "__file", "__line", "nth", "first")
+
+
+def ambiguous_locals(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """References that no id resolves and that several objects of their own namespace have as local id."""
+    keyed = refs.withColumn("_id", F.element_at(F.split("raw", ":"), -1))
+    ids = objects.select("__workspace", F.col("__id").alias("_id")).distinct()
+    local = objects.filter("__local_id is not null").groupBy("__workspace", "__namespace", F.col("__local_id").alias("_id")).agg(F.count(F.lit(1)).alias("candidates")).filter("candidates > 1")
+    return keyed.join(ids, ["__workspace", "_id"], "left_anti").join(local, ["__workspace", "__namespace", "_id"]).select(*refs.columns, "candidates")
+
+
+def candidates_of(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """refs with state ('broken', 'resolved', 'ambiguous') and the number and first of the objects they may mean.
+
+    A part before the id is a kind if in capitals, else a namespace.
+    """
+    parts = F.split("raw", ":")
+    head = F.when(F.size(parts) > 1, F.element_at(parts, -2))
+    upper = head.rlike("^[A-Z]")
+    keyed = refs.withColumns({"_id": F.element_at(parts, -1), "_kind": F.when(upper, head), "_ns": F.when(F.size(parts) == 3, parts[0]).when(~upper, head)})
+    o = objects.select(F.col("__id").alias("_id"), F.col("__kind").alias("ok"), F.col("__namespace").alias("on"), "__global_id").distinct()
+    fits = (F.col("_kind").isNull() | (F.col("_kind") == F.col("ok"))) & (F.col("_ns").isNull() | (F.col("_ns") == F.col("on")))
+    wanted = keyed.select("_id", "_kind", "_ns").distinct()
+    hit = (wanted.join(o, "_id").filter(fits).groupBy("_id", F.coalesce("_kind", F.lit("")).alias("hk"), F.coalesce("_ns", F.lit("")).alias("hn")).agg(F.count(F.lit(1)).alias("n"), F.min("__global_id").alias("first")))
+    j = keyed.withColumns({"hk": F.coalesce("_kind", F.lit("")), "hn": F.coalesce("_ns", F.lit(""))}).join(hit, ["_id", "hk", "hn"], "left")
+    state = F.when(F.col("n").isNull(), "broken").when(F.col("n") == 1, "resolved").otherwise("ambiguous")
+    return j.select(*refs.columns, state.alias("state"), F.coalesce("n", F.lit(0)).alias("candidates"), "first")
+
+
+def diagnostics(refs: DataFrame, objects: DataFrame) -> DataFrame:
+    """One row a reference that is wrong: code, severity, message; REF001 (error) resolves to nothing, REF002 (warning) to several local ids."""
+    keys = ["__workspace", "__namespace", "raw"]
+    unresolved = resolve(refs.select(*keys).distinct(), objects).filter("target_id is null").select(*keys)
+    local = ambiguous_locals(unresolved, objects).select(*keys, F.lit(True).alias("many"))
+    elsewhere = objects.filter("__local_id is not null and __namespace <> ''").groupBy(F.col("__local_id").alias("_id")).agg(F.min(F.concat(F.lit("[[#"), "__namespace", F.lit(":"), "__id", F.lit("]]"))).alias("hint"))
+    bad = refs.join(unresolved, keys, "left_semi").join(local, keys, "left").withColumn("_id", F.element_at(F.split("raw", "[.:]"), -1)).join(elsewhere, "_id", "left")
+    many = F.coalesce("many", F.lit(False))
+    text = F.when(many, F.concat(F.lit("ambiguous reference [[#"), "raw", F.lit("]]"))).otherwise(F.concat(F.lit("broken reference [[#"), "raw", F.lit("]]"), F.coalesce(F.concat(F.lit(". Did you mean "), "hint", F.lit("?")), F.lit(""))))
+    return bad.select(*refs.columns, F.when(many, "REF002").otherwise("REF001").alias("code"), F.when(many, "warning").otherwise("error").alias("severity"), text.alias("message"))
+
+
 def ambiguous_references(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """References whose id several objects of the workspace have, none of them in the reference's own namespace."""
     keyed = refs.withColumn("_id", F.element_at(F.split("raw", ":"), -1))

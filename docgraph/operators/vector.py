@@ -55,6 +55,15 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def distances(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, distance of every vector to one query: a projection, no ranks."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norms = F.sqrt(dot(v, v) * F.lit(float(sum(x * x for x in query))))
+    return vectors.filter(F.col(vector).isNotNull()).select(key, F.round(1 - F.when(norms > 0, dot(v, q) / norms).otherwise(0.0), 12).alias("distance"))
+
+
 def _blocked(vectors: DataFrame, key: str, vector: str, product, schema: str) -> DataFrame:
     """``product`` (ids, ids, similarities of one side's rows to the other's, whether they are one side) of every pair of blocks."""
     v = vectors.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
@@ -107,13 +116,31 @@ def all_pairs(vectors: DataFrame, threshold: float, key: str = "vec_id", vector:
     return _blocked(vectors, key, vector, above, "a bigint, b bigint, similarity double")
 
 
+def representatives(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """object_id, embedding: the vector of each object's first chunk (the least chunk id)."""
+    return chunks.select(key, "object_id").join(vectors.select(key, vector), key).groupBy("object_id").agg(F.min_by(vector, key).alias(vector))
+
+
 def inferred_edges(vectors: DataFrame, threshold: float = 0.7, most: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """source_id < target_id, similarity: pairs above the threshold that are among the ``most`` nearest of either."""
+    """source_id < target_id, similarity: pairs at the threshold or above (by 9 decimals) that are among the ``most`` nearest of either."""
     w = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
-    near = all_pairs(vectors, threshold, key, vector).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    near = all_pairs(vectors, threshold - 1e-9, key, vector).filter(F.round("similarity", 9) >= threshold).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     return near.groupBy(F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id")).agg(F.max("similarity").alias("similarity"))
 
 
+def hints(vectors: DataFrame, group: DataFrame, edges: DataFrame, least: float = 0.65, near: int = 20, most: int = 3) -> DataFrame:
+    """a, b, place, similarity: of each vector's ``near`` nearest at ``least`` or above, without explicit edges and of other groups, the best of each group, the first ``most``.
+
+    ``group``: id, group; ``edges``: a, b.
+    """
+    order = [F.desc(F.round("similarity", 9)), F.col("b")]
+    w, each = Window.partitionBy("a").orderBy(*order), Window.partitionBy("a", "gb").orderBy(*order)
+    found = all_pairs(vectors, least).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= near).join(edges, ["a", "b"], "left_anti")
+    g = found.join(group.select(F.col("id").alias("b"), F.col("group").alias("gb")), "b").join(group.select(F.col("id").alias("a"), F.col("group").alias("ga")), "a").filter("gb <> ga")
+    first = g.withColumn("r", F.row_number().over(each)).filter("r = 1")
+    return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("a", "b", "place", F.round("similarity", 3).alias("similarity"))
+
+
 def suspicious_edges(edges: DataFrame, vectors: DataFrame, below: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Explicit edges (source_id, target_id) whose ends are less alike than ``below``."""
     a, b = (vectors.select(F.col(key).cast("bigint").alias(n), F.col(vector).cast("array<double>").alias(n[0] + "v")) for n in ("source_id", "target_id"))

@@ -30,7 +30,37 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there."""
+    """``df`` written to the shared folder and read again: lineage ends there.
+
+    The table stays until it is discarded, or all of the session's are released.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    _tables.add(path)
+    return out
+
+
+_tables: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _tables.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more (a round's state once the next one is written)."""
+    for df in tables:
+        if getattr(df, "written_to", None):
+            _delete(df.sparkSession, df.written_to)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables this process wrote; for when its results have been read. Gives their number."""
+    paths = list(_tables)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
