@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES: tuple[str, ...] = ("surface", "linking", "semantic")
+FAMILIES: tuple[str, ...] = ("surface", "linking", "semantic", "engine", "lookups", "documents")
 
 
 def _gather(attribute: str) -> dict:

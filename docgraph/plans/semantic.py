@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import fusion, graph, text, vector
 
-WORDS, PART, ID = "idiot moron the", "reening", "QMD-17 the"
+WORDS, PART, ID = "was und the", "reening", "ABC-17 the"
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _objects(s: SparkSession, d: str) -> DataFrame:
 
 
 def _distances(s: SparkSession, d: str) -> DataFrame:
-    return vector.knn(_vectors(s, d), _query(s, d), 1 << 30).select((F.col("vec_id") % 100).alias("object_id"), "distance")
+    return vector.distances(_vectors(s, d), _query(s, d)[0][1]).select((F.col("vec_id") % 100).alias("object_id"), "distance")
 
 
 def _found(s: SparkSession, d: str) -> DataFrame:
@@ -62,25 +62,21 @@ def _edges50(s: SparkSession, d: str) -> DataFrame:
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
     v = _vectors(s, d)
-    hits = vector.knn_all(v, 20)
+    hits = vector.knn_all(v, 10)
     label = v.select("vec_id", "label")
     own = v.select(F.col("vec_id").alias("query"), F.col("label").alias("wanted"))
     return hits.join(label, "vec_id").join(own, "query").select("query", "rank", (F.col("label") == F.col("wanted")).cast("int").alias("relevant"))
 
 
-def _hints(s: SparkSession, d: str) -> DataFrame:
+def _totals(s: SparkSession, d: str) -> DataFrame:
+    """How many others have each vector's label."""
     v = _vectors(s, d)
-    pairs = vector.all_pairs(v, 0.2)
-    lab = v.select(F.col("vec_id").alias("b"), "label")
-    own = v.select(F.col("vec_id").alias("a"), F.col("label").alias("la"))
-    e = _edges50(s, d).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    from pyspark.sql import Window
+    n = v.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("relevant"))
+    return v.join(n, "label").select(F.col("vec_id").alias("query"), "relevant")
 
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), "b")
-    each = Window.partitionBy("a", "label").orderBy(F.desc(F.round("similarity", 9)), "b")
-    near = pairs.withColumn("k", F.row_number().over(w)).filter("k <= 20").join(e, ["a", "b"], "left_anti").join(lab, "b").join(own, "a").filter("label <> la")
-    first = near.withColumn("r", F.row_number().over(each)).filter("r = 1")
-    return first.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("a", "b", "place", F.round("similarity", 3).alias("similarity"))
+
+def _groups(s: SparkSession, d: str) -> DataFrame:
+    return _vectors(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
 
 
 def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -109,11 +105,15 @@ QUERIES = {
     "f_search": lambda s, d: _rounded(_found(s, d), "score"),
     "f_exclude_namespaces": lambda s, d: _rounded(fusion.without_namespaces(_objects(s, d), s.range(100).select(F.col("id").alias("object_id"), F.when(F.col("id") % 2 == 0, "even").alias("namespace"), F.concat(F.col("id") % 5, F.lit("/f.md")).alias("file")), ["even", "3"]), "score"),
     "f_inferred_edges": lambda s, d: _rounded(vector.inferred_edges(_vectors(s, d), 0.2, 50), "similarity"),
-    "f_hints": _hints,
+    "f_hints": lambda s, d: vector.hints(_vectors(s, d), _groups(s, d), _edges50(s, d).select(F.col("source_id").alias("a"), F.col("target_id").alias("b")), 0.2),
+    "f_inferred_default": lambda s, d: _rounded(vector.inferred_edges(_vectors(s, d)), "similarity"),
+    "f_bm25_postings": lambda s, d: _rounded(text.posting_search(text.postings(_chunks(s, d)), text.corpus_facts(_chunks(s, d)), WORDS), "score"),
+    "f_trigram_postings": lambda s, d: text.trigram_candidates(text.trigram_postings(_chunks(s, d)), PART).join(_chunks(s, d), "chunk_id").filter(F.lower("text").contains(PART)).select("chunk_id"),
+    "f_representatives": lambda s, d: vector.representatives(_chunks(s, d), _vectors(s, d).withColumnRenamed("vec_id", "chunk_id")).select("object_id", F.format_string("%.4f", F.element_at("embedding", 1).cast("double")).alias("head")),
     "f_audit_suspicious": lambda s, d: _rounded(vector.suspicious_edges(_edges50(s, d), _vectors(s, d), 0.0), "similarity"),
     "f_audit_missing": lambda s, d: _rounded(vector.missing_edges(vector.inferred_edges(_vectors(s, d), 0.2, 50), _edges50(s, d), 0.3, _vectors(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("group"))), "similarity"),
-    "f_object_vectors": lambda s, d: vector.object_vectors(_vectors(s, d), "label").select("label", F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.format_string("%.4f", x)), ",").alias("head")),
-    "f_metrics_mrr_ndcg": lambda s, d: _rounded(text.relevance_metrics(_ranked(s, d), 10), "precision", "recall", "mrr", "ndcg"),
+    "f_object_vectors": lambda s, d: vector.object_vectors(_vectors(s, d), "label").select("label", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x)), ",").alias("head")),
+    "f_metrics_mrr_ndcg": lambda s, d: _rounded(text.relevance_metrics(_ranked(s, d), _totals(s, d), 10), "precision", "recall", "mrr", "ndcg"),
     "f_snippet": lambda s, d: _chunks(s, d).select("chunk_id", text.snippet(F.col("text"), PART).alias("snippet")),
 }
 
@@ -141,10 +141,10 @@ def _fuse(terms: list[str], wd: float, ww: float, ws: float) -> str:
     UNION ALL SELECT chunk_id, {ww} * (abs(score) - lo) / CASE WHEN hi <> lo THEN hi - lo ELSE 1 END FROM k20, (SELECT min(abs(score)) AS lo, max(abs(score)) AS hi FROM k20)
     UNION ALL SELECT chunk_id, {ws} * abs(score) / hi FROM s20, (SELECT max(abs(score)) AS hi FROM s20)),
   fused AS (SELECT chunk_id, sum(score) AS score FROM parts GROUP BY 1),
-  obj AS (SELECT object_id, m * (1 + 0.1 * ln(1 + n)) * CASE WHEN m > 0 THEN 0.5 + 0.5 * a / m ELSE 1 END AS score FROM (SELECT chunk_id % 100 AS object_id, max(score) AS m, count(*) AS n, avg(score) AS a FROM fused GROUP BY 1))"""
+  obj AS (SELECT object_id, m * (1 + 0.1 * ln(1 + n)) * CASE WHEN m > 0 THEN 0.5 + 0.5 * a / m ELSE 1 END AS score FROM (SELECT chunk_id % 100 AS object_id, max(score) AS m, count(*) AS n, avg(score) AS a FROM fused WHERE chunk_id IN (SELECT doc_id FROM documents) GROUP BY 1))"""
 
 
-_SEM = _fuse(["idiot", "moron", "the"], 0.7, 0.3, 0.2)
+_SEM = _fuse(["was", "und", "the"], 0.7, 0.3, 0.2)
 _HOP = "hop AS (SELECT range AS a, (range * 3 + 1) % 100 AS b FROM range(100) UNION SELECT (range * 3 + 1) % 100, range FROM range(100))"
 _WALK = f"""{_HOP}, seeds AS (SELECT object_id AS id FROM obj ORDER BY score DESC, object_id LIMIT 5),
   walk(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT b, depth + 1 FROM walk JOIN hop ON a = id WHERE depth < 2), reached AS (SELECT DISTINCT id AS object_id FROM walk),
@@ -161,11 +161,11 @@ ORACLE_SQL = {
     "c_combined_vs_child": f"SELECT doc_id AS object_id, CASE WHEN length(line) >= 50 THEN 'child' ELSE 'combined' END AS chunk_type, count(*) AS n, sum(length(line))::BIGINT AS chars FROM {_L} GROUP BY 1, 2",
     "c_diff_hash": f"SELECT chunk_id, CASE chunk_id % 10 WHEN 0 THEN 'new' WHEN 1 THEN 'deleted' WHEN 2 THEN CASE WHEN text_hash = reverse(text_hash) THEN 'unchanged' ELSE 'changed' END ELSE 'unchanged' END AS state FROM {_H}",
     "c_upsert": f"SELECT chunk_id, CASE WHEN chunk_id % 10 = 2 THEN reverse(text_hash) ELSE text_hash END AS text_hash FROM {_H}",
-    "f_bm25": f"WITH {_bm('kw', ['idiot', 'moron', 'the'])} SELECT chunk_id, round(score, 6) AS score FROM kw",
+    "f_bm25": f"WITH {_bm('kw', ['was', 'und', 'the'])} SELECT chunk_id, round(score, 6) AS score FROM kw",
     "f_trigram": f"WITH {_TRI} SELECT chunk_id, round(score, 6) AS score FROM sub",
     "f_knn_cosine": f"WITH {_KNN.format(which='q.vec_id <> x.vec_id')} SELECT query, vec_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS rank FROM near QUALIFY rank <= 10",
     "f_fusion_semantic": f"WITH {_SEM} SELECT chunk_id, round(score, 6) AS score FROM fused",
-    "f_fusion_id": f"WITH {_fuse(['qmd17', 'qmd', '17', 'the'], 0.3, 0.7, 0.4)} SELECT chunk_id, round(score, 6) AS score FROM fused",
+    "f_fusion_id": f"WITH {_fuse(['abc17', 'abc', '17', 'the'], 0.3, 0.7, 0.4)} SELECT chunk_id, round(score, 6) AS score FROM fused",
     "f_group_by_object": f"WITH {_SEM} SELECT object_id, round(score, 6) AS score FROM obj",
     "f_graph_walk": f"WITH RECURSIVE {_HOP}, walk(id, depth) AS (SELECT unnest([5, 17])::BIGINT, 0 UNION SELECT b, depth + 1 FROM walk JOIN hop ON a = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY 1",
     "f_rerank": f"WITH RECURSIVE {_SEM}, {_WALK} SELECT object_id, round(score, 6) AS score FROM ranked",
@@ -176,9 +176,14 @@ ORACLE_SQL = {
                "SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) AS place, round(similarity, 3) AS similarity FROM f QUALIFY place <= 3",
     "f_audit_suspicious": f"WITH {_PAIRS} SELECT source_id, target_id, round(similarity, 6) AS similarity FROM links JOIN pairs ON a = source_id AND b = target_id WHERE similarity < 0",
     "f_audit_missing": f"WITH {_PAIRS}, {_INF} SELECT i.source_id, i.target_id, round(i.similarity, 6) AS similarity FROM inferred i JOIN pairs p ON p.a = i.source_id AND p.b = i.target_id WHERE i.similarity > 0.3 AND la <> lb AND NOT EXISTS (SELECT 1 FROM links l WHERE least(l.source_id, l.target_id) = i.source_id AND greatest(l.source_id, l.target_id) = i.target_id)",
-    "f_object_vectors": "SELECT label, array_to_string(list_transform([avg(embedding[1]), avg(embedding[2]), avg(embedding[3]), avg(embedding[4])], lambda x: printf('%.4f', x)), ',') AS head FROM embeddings GROUP BY 1",
-    "f_metrics_mrr_ndcg": f"WITH {_KNN.format(which='q.vec_id <> x.vec_id')}, r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, near.vec_id) AS rank, CASE WHEN x.label = q.label THEN 1 ELSE 0 END AS relevant FROM near JOIN vec x ON x.vec_id = near.vec_id JOIN vec q ON q.vec_id = query QUALIFY rank <= 20), b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY relevant DESC, rank) AS best FROM r) "
-                          "SELECT query, round(sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) / 10, 6) AS precision, round(sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) / greatest(sum(relevant), 1), 6) AS recall, round(coalesce(1 / min(CASE WHEN relevant > 0 THEN rank END), 0), 6) AS mrr, "
-                          "round(sum(CASE WHEN rank <= 10 THEN relevant / log2(rank + 1) ELSE 0 END) / greatest(sum(CASE WHEN best <= 10 THEN relevant / log2(best + 1) ELSE 0 END), 1e-9), 6) AS ndcg FROM b GROUP BY 1",
+    "f_object_vectors": "SELECT label, string_agg(printf('%.4f', m), ',' ORDER BY i) AS head FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1",
+    "f_metrics_mrr_ndcg": f"WITH {_KNN.format(which='q.vec_id <> x.vec_id')}, r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, near.vec_id) AS rank, CASE WHEN x.label = q.label THEN 1 ELSE 0 END AS relevant FROM near JOIN vec x ON x.vec_id = near.vec_id JOIN vec q ON q.vec_id = query), "
+                          "t AS (SELECT query, sum(relevant) AS total FROM r GROUP BY 1), i AS (SELECT query, sum(1 / log2(n + 1)) AS ideal FROM t, (SELECT unnest(range(1, 11)) AS n) WHERE n <= total GROUP BY 1) "
+                          "SELECT r.query, round(sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) / 10, 6) AS precision, round(sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) / greatest(any_value(total), 1), 6) AS recall, round(coalesce(1 / min(CASE WHEN relevant > 0 AND rank <= 10 THEN rank END), 0), 6) AS mrr, "
+                          "round(coalesce(sum(CASE WHEN rank <= 10 THEN relevant / log2(rank + 1) ELSE 0 END) / any_value(ideal), 0), 6) AS ndcg FROM r JOIN t USING (query) LEFT JOIN i USING (query) GROUP BY 1",
+    "f_inferred_default": f"WITH {_PAIRS}, {_INF.replace('similarity > 0.2', 'round(similarity, 9) >= 0.7')} SELECT source_id, target_id, round(similarity, 6) AS similarity FROM inferred",
+    "f_bm25_postings": f"WITH {_bm('kw', ['was', 'und', 'the'])} SELECT chunk_id, round(score, 6) AS score FROM kw",
+    "f_trigram_postings": f"SELECT doc_id AS chunk_id FROM documents WHERE contains(lower(text), '{PART}')",
+    "f_representatives": "SELECT doc_id % 100 AS object_id, printf('%.4f', arg_min(embedding[1]::DOUBLE, doc_id)) AS head FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY 1",
     "f_snippet": f"WITH a AS (SELECT doc_id, text, strpos(lower(text), '{PART}') AS pos FROM documents) SELECT doc_id AS chunk_id, CASE WHEN pos - 40 > 1 THEN '...' ELSE '' END || regexp_replace(CASE WHEN pos > 0 THEN substr(text, greatest(1, pos - 40), {80 + len(PART)}) ELSE substr(text, 1, 80) END, '\\s+', ' ', 'g') AS snippet FROM a",
 }

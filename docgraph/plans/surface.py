@@ -10,12 +10,8 @@ SQL: dict = {
     "q_distinct": "SELECT DISTINCT __kind, __namespace FROM objects",
     "q_and_or_not": "SELECT __id FROM objects WHERE (__kind = 'Customer' OR __kind = 'Supplier') AND NOT (__line < 500) AND __workspace != 'ASIA'",
     "q_in_list": "SELECT __id, __kind FROM objects WHERE __kind IN ('Region', 'Nation') AND __namespace NOT IN ('x')",
-    "q_like_prefix": "SELECT __id FROM objects WHERE __id ILIKE 'Customer\\_1%' AND __label NOT ILIKE '%9'".replace("\\_", "_"),
-    "q_glob": ("SELECT __id FROM objects WHERE __id rlike '^nation_[0-9]$'", "SELECT __id FROM objects WHERE __id GLOB 'nation_[0-9]'"),
     "q_case": "SELECT __kind, CASE WHEN __level = 1 THEN 'root' WHEN __level < 4 THEN 'inner' ELSE 'leaf' END AS depth, CASE __kind WHEN 'Part' THEN 1 ELSE 0 END AS is_part, count(*) AS n FROM objects GROUP BY 1, 2, 3",
     "q_between_in": "SELECT __id FROM objects WHERE __line BETWEEN 10 AND 20 AND __parent IS NOT NULL AND __local_id IS DISTINCT FROM 'x'",
-    "q_cast_null": "SELECT __id, coalesce(__parent, 'none') AS parent, CAST({j:data:cents} AS BIGINT) AS cents, nullif(__namespace, '') AS ns FROM objects WHERE __kind IN ('Customer', 'Region')",
-    "q_int_div": ("SELECT __id, __line div 7 AS q, __line % 7 AS r, __line & 3 AS b FROM objects WHERE __kind = 'Part'", "SELECT __id, __line // 7 AS q, __line % 7 AS r, __line & 3 AS b FROM objects WHERE __kind = 'Part'"),
     "q_scalar_subquery": "SELECT o.__id, (SELECT count(*) FROM edges e WHERE e.target_id = o.__global_id) AS n FROM objects o WHERE o.__kind = 'Nation'",
     "q_json_field": "SELECT __id, {j:data:segment} AS segment FROM objects WHERE {j:data:segment} = 'BUILDING'",
     "q_string_functions": "SELECT __id, substr(__kind, 1, 2) AS two, length(__label) AS n, __kind || '/' || __id AS path FROM objects WHERE __level < 4",
@@ -27,9 +23,10 @@ SQL: dict = {
     "j_right": "SELECT o.__id, e.source_id FROM edges e RIGHT JOIN objects o ON e.target_id = o.__global_id WHERE o.__kind = 'Region'",
     "j_full_outer_fk": "SELECT a.c AS custs, b.s AS supps, coalesce(a.ns, b.ns) AS ns FROM (SELECT __namespace AS ns, count(*) AS c FROM objects WHERE __kind = 'Customer' GROUP BY 1) a FULL OUTER JOIN (SELECT __namespace AS ns, count(*) AS s FROM objects WHERE __kind = 'Supplier' GROUP BY 1) b ON a.ns = b.ns",
     "j_cross_kinds": "SELECT a.__id AS a, b.__id AS b FROM (SELECT __id FROM objects WHERE __kind = 'Region') a CROSS JOIN (SELECT __id FROM objects WHERE __kind = 'Nation') b",
-    "j_self_parent": "SELECT c.__id AS child, p.__id AS parent, p.__label AS label FROM objects c JOIN objects p ON c.__parent = p.__id WHERE c.__kind != 'Order'",
+    "j_self_parent": "SELECT c.__id AS child, p.__id AS parent, p.__label AS label FROM objects c JOIN objects p ON c.__parent = p.__id",
     "j_theta_like": "SELECT o.__id, t.__id AS t FROM objects o JOIN edges e ON e.source_id = o.__global_id JOIN objects t ON t.__global_id = e.target_id AND t.__id LIKE 'nation%' AND t.__line < 12",
     "j_using": "SELECT __workspace, a.n, b.m FROM (SELECT __workspace, count(*) AS n FROM objects GROUP BY 1) a JOIN (SELECT __workspace, count(*) AS m FROM edges GROUP BY 1) b USING (__workspace)",
+    "j_natural": "SELECT __workspace, n, m FROM (SELECT __workspace, count(*) AS n FROM objects GROUP BY 1) a NATURAL JOIN (SELECT __workspace, count(*) AS m FROM edges GROUP BY 1) b",
     "j_semi_in": "SELECT __id FROM objects WHERE __global_id IN (SELECT target_id FROM edges WHERE edge_type = 'placed_by')",
     "j_anti_not_exists": "SELECT __id FROM objects o WHERE __kind = 'Customer' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = o.__global_id)",
     "j_on_count_lifted": "SELECT o.__id, n.n FROM objects o JOIN (SELECT target_id, count(*) AS n FROM edges GROUP BY 1) n ON n.target_id = o.__global_id AND n.n > 10",
@@ -42,9 +39,6 @@ SQL: dict = {
     "a_count_distinct_targets": "SELECT edge_type, count(DISTINCT target_id) AS targets, count(DISTINCT source_id) AS sources FROM edges GROUP BY edge_type",
     "a_having": "SELECT source_id, count(*) AS n FROM edges GROUP BY source_id HAVING count(*) >= 40",
     "a_avg_rounded": "SELECT __kind, round(avg(__line), 4) AS mean_line FROM objects GROUP BY __kind",
-    "a_group_concat": ("SELECT __workspace, listagg(__id, ',') WITHIN GROUP (ORDER BY __id) AS ids FROM objects WHERE __kind = 'Nation' GROUP BY 1", "SELECT __workspace, string_agg(__id, ',' ORDER BY __id) AS ids FROM objects WHERE __kind = 'Nation' GROUP BY 1"),
-    "a_group_json_key_glob": ("SELECT key, count(*) AS n FROM objects, LATERAL explode(from_json(data, 'map<string,string>')) AS t(key, value) WHERE key rlike '^[a-n].*$' GROUP BY key",
-                              "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(data)) AS key FROM objects) WHERE key GLOB '[a-n]*' GROUP BY key"),
     "a_first_label_per_file": ("SELECT __file, min_by(__label, struct(__level, __line, __id)) AS label FROM objects GROUP BY __file", "SELECT __file, arg_min(__label, (__level, __line, __id)) AS label FROM objects GROUP BY __file"),
     "a_metamodel_kinds": ("SELECT __kind, count(DISTINCT __global_id) AS n, array_join(sort_array(collect_set(key)), ',') AS fields FROM objects, LATERAL explode(map_keys(from_json(data, 'map<string,string>'))) AS t(key) GROUP BY __kind",
                           "SELECT __kind, count(DISTINCT __global_id) AS n, array_to_string(list_sort(list(DISTINCT key)), ',') AS fields FROM (SELECT *, unnest(json_keys(data)) AS key FROM objects) GROUP BY __kind"),
@@ -53,7 +47,7 @@ SQL: dict = {
     "a_tree_counts": "SELECT __workspace, __file, __kind, count(*) AS n FROM objects GROUP BY 1, 2, 3",
     # windows
     "w_row_number": "SELECT __kind, n, row_number() OVER (ORDER BY n DESC, __kind) AS rn FROM (SELECT __kind, count(*) AS n FROM objects GROUP BY 1) g",
-    "w_rank_in_kind": "SELECT __id, __kind, row_number() OVER (PARTITION BY __kind, __namespace ORDER BY __line DESC, __id) AS rn FROM objects WHERE __kind != 'Order'",
+    "w_rank_in_kind": "SELECT __id, __kind, row_number() OVER (PARTITION BY __kind, __namespace ORDER BY __line DESC, __id) AS rn FROM objects",
     "w_count_over_ws": "SELECT __id, count(*) OVER (PARTITION BY __workspace, __kind) AS n FROM objects WHERE __level < 4",
     "w_rows_frame": "SELECT __id, sum(__line) OVER (PARTITION BY __namespace ORDER BY __id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, lag(__id) OVER (PARTITION BY __namespace ORDER BY __id) AS before FROM objects WHERE __kind = 'Customer'",
     "w_named": "SELECT __id, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER w AS q FROM objects WHERE __kind = 'Supplier' WINDOW w AS (PARTITION BY __workspace ORDER BY __line, __id)",
@@ -62,7 +56,6 @@ SQL: dict = {
     "t_topk": "SELECT __id, __line FROM objects ORDER BY __line DESC, __id LIMIT 25",
     "t_offset_page": "SELECT __global_id FROM objects ORDER BY __global_id LIMIT 50 OFFSET 100",
     "t_keyset_page": "SELECT __global_id FROM objects WHERE __global_id > 'ASIA:' ORDER BY __global_id LIMIT 40",
-    "t_nocase_sort": "SELECT __label, row_number() OVER (ORDER BY lower(__label), __id) AS rn FROM objects WHERE __kind IN ('Nation', 'Region')",
     "t_case_key": "SELECT __id, row_number() OVER (ORDER BY CASE WHEN __kind = 'Region' THEN 0 ELSE 1 END, __id) AS rn FROM objects WHERE __level <= 2",
     "t_readme_first": "SELECT __file, row_number() OVER (ORDER BY split_part(__file, '/', 1), CASE WHEN __file LIKE '%/0.md' THEN 0 ELSE 1 END, __file) AS rn FROM (SELECT DISTINCT __file FROM objects) f",
     # set operations and common table expressions
@@ -79,15 +72,16 @@ SQL: dict = {
     "p_page_edges": "SELECT DISTINCT e.edge_type, s.__file AS from_file, t.__file AS to_file, t.__kind AS kind FROM edges e JOIN objects s ON s.__global_id = e.source_id JOIN objects t ON t.__global_id = e.target_id WHERE s.__file <> t.__file AND t.__kind NOT LIKE '\\_\\_%'".replace("\\_\\_", "~~"),
     "p_related_files": ("SELECT a, b, array_join(sort_array(collect_set(edge_type)), ',') AS types FROM (SELECT s.__file AS a, t.__file AS b, edge_type FROM edges e JOIN objects s ON s.__global_id = e.source_id JOIN objects t ON t.__global_id = e.target_id UNION ALL SELECT t.__file, s.__file, edge_type FROM edges e JOIN objects s ON s.__global_id = e.source_id JOIN objects t ON t.__global_id = e.target_id) u WHERE a <> b GROUP BY a, b",
                         "SELECT a, b, array_to_string(list_sort(list(DISTINCT edge_type)), ',') AS types FROM (SELECT s.__file AS a, t.__file AS b, edge_type FROM edges e JOIN objects s ON s.__global_id = e.source_id JOIN objects t ON t.__global_id = e.target_id UNION ALL SELECT t.__file, s.__file, edge_type FROM edges e JOIN objects s ON s.__global_id = e.source_id JOIN objects t ON t.__global_id = e.target_id) u WHERE a <> b GROUP BY a, b"),
-    "p_site_tree": "SELECT split_part(__file, '/', 1) AS dir, __file, count(*) AS n FROM objects WHERE __kind NOT IN ('Region') GROUP BY 1, 2",
+    "p_site_tree": "SELECT split_part(f.__file, '/', 1) AS dir, f.__file, f.n FROM (SELECT __file, count(*) AS n FROM objects GROUP BY 1) f WHERE NOT (f.__file LIKE '%/0.md' AND NOT EXISTS (SELECT 1 FROM objects b WHERE b.__file = f.__file AND b.__kind NOT IN ('Region', 'Nation')))",
     "p_siblings": ("SELECT f.__file, g.__file AS sibling, g.label FROM (SELECT DISTINCT __file FROM objects) f JOIN (SELECT __file, min_by(__label, struct(__level, __line, __id)) AS label FROM objects GROUP BY __file) g ON split_part(f.__file, '/', 1) = split_part(g.__file, '/', 1) AND f.__file <> g.__file",
                    "SELECT f.__file, g.__file AS sibling, g.label FROM (SELECT DISTINCT __file FROM objects) f JOIN (SELECT __file, arg_min(__label, (__level, __line, __id)) AS label FROM objects GROUP BY __file) g ON split_part(f.__file, '/', 1) = split_part(g.__file, '/', 1) AND f.__file <> g.__file"),
     "p_kinds_per_file": "SELECT __file, __kind, count(*) AS n FROM objects GROUP BY __file, __kind",
-    "p_toc": "SELECT __file, __id, __label, __level FROM objects WHERE __level >= 2 AND __kind <> 'Order'",
+    "p_toc": "SELECT __file, __id, __label, __level FROM objects WHERE __level >= 2",
     "p_breadcrumb": "SELECT o.__id, w.__label AS workspace_label, o.__namespace, o.__file FROM objects o JOIN objects w ON w.__kind = 'Region' AND w.__workspace = o.__workspace WHERE o.__level IN (2, 3)",
     "p_nav_titles": "SELECT f.__file, coalesce(l.__label, f.__file) AS title FROM (SELECT DISTINCT __file FROM objects) f LEFT JOIN objects l ON l.__file = f.__file AND l.__level = 1 AND l.__kind = 'Region'",
-    "p_stale_sources": ("SELECT source, substr(sha2(listagg(substr(sha2(text, 256), 1, 16), '') WITHIN GROUP (ORDER BY doc_id), 256), 1, 16) AS fingerprint FROM documents GROUP BY source",
-                        "SELECT source, substr(sha256(string_agg(substr(sha256(text), 1, 16), '' ORDER BY doc_id)), 1, 16) AS fingerprint FROM documents GROUP BY source"),
+    # hashes of hashes, a thousand ids at a time, so that no row has to hold a source whole
+    "p_stale_sources": ("SELECT source, substr(sha2(listagg(h, '') WITHIN GROUP (ORDER BY part), 256), 1, 16) AS fingerprint FROM (SELECT source, doc_id div 1000 AS part, sha2(listagg(substr(sha2(text, 256), 1, 16), '') WITHIN GROUP (ORDER BY doc_id), 256) AS h FROM documents GROUP BY 1, 2) p GROUP BY source",
+                        "SELECT source, substr(sha256(string_agg(h, '' ORDER BY part)), 1, 16) AS fingerprint FROM (SELECT source, doc_id // 1000 AS part, sha256(string_agg(substr(sha256(text), 1, 16), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2) p GROUP BY source"),
 }
 
 SQL["p_page_edges"] = SQL["p_page_edges"].replace("NOT LIKE '~~%'", "<> 'Region'")
