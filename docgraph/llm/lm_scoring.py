@@ -1,19 +1,23 @@
-"""Language-model scores from a causal self-attention model in numpy.
-
-Subword ids (byte-level BPE) become ``SYMBOLS`` symbols: the most frequent ids
-each their own, the others shared out over classes of like total frequency.
-The probability of an id is that of its symbol, from the model, times its
-share in its class, from counts.  The model's logits are the log frequency of
-the symbol after the one before it plus what one layer of causal self-attention
-with relative positions, a residual path and a hidden layer add to that.
-
-All of it is learnt from the corpus at hand.  Counts of ids and of neighbours
-cover every token of every document.  The attention model is trained by
-``ROUNDS`` rounds of parallel stochastic gradient descent: every partition
-starts from the same weights, takes steps over its windows, and the weights
-are averaged by windows seen.  The rounds deal the windows out among them, one
-in ``SHARE`` to each: with as many rounds as SHARE, every window of every
-document is trained on once, so training grows with the corpus.
+"""Language-model scores from a causal self-attention model in numpy over subword ids.
+
+Ids are those of a byte-level BPE.  Every id has an embedding of its own; one
+layer of causal self-attention with relative positions, a residual path and a
+hidden layer make a vector of what stands before a token.  The next id is found
+by a walk down a Huffman tree of all ids (hierarchical softmax): at each node a
+learnt vector and a bias give the odds of left and right, so probabilities of
+all ids sum to one and an id costs as many dot products as its code has bits.
+The biases of the ``TOP`` heaviest nodes depend on the class (of ``CLASSES``,
+by frequency) of the id before, by counts; those of the others are the nodes'
+own odds.
+
+All of it is learnt from the corpus at hand, and from all of it.  Counts cover
+every token.  Documents are dealt to shards of about ``SHARD`` tokens and to
+``ROUNDS`` rounds by a hash of themselves, every window of each is trained on
+once, and training grows with the corpus.  In a round every shard starts from
+the same weights and takes its steps in the order of its documents; then the
+weights are averaged, each row of a table by how often a shard touched it.
+Sums are of whole numbers, so neither the partitions nor the order in which
+tasks end make a difference.
 
 Scoring goes over all documents in windows of ``2 * STEP`` tokens that overlap
 by half: the first half is context, the tokens of the second are scored, each
@@ -21,18 +25,19 @@ token thus once, given at least STEP tokens before it (or all there are).
 Windows of many documents are one batch with one causal mask.
 
 Token ids are written once to the shared folder and read by every pass.  What
-is sent per task is bounded by the tables' sizes (ids, symbol pairs, weights),
-and summed in Spark, not on the driver.
+is sent per task is bounded by the vocabulary, and summed in Spark.
 
 Nulls: a null or empty text has no tokens, log probability 0 and a null mean.
 A long text is scored whole, in as many windows as it takes.  Repeated rows
-are scored alike, a null doc_id stays null.  An empty table gives an empty
-result.  Extra columns are ignored, whatever their names.
+are scored alike; a null doc_id (or one that is no whole number) stays null.
+An empty table gives an empty result.  Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import functools
+import ctypes
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,128 +49,207 @@ from pyspark.sql import functions as F
 from docgraph.llm.common import Columns, batches_of, table, written
 from docgraph.llm.records import default_vocabulary, tokens_of
 
-SYMBOLS, OWN, WIDTH, HIDDEN, STEP = 256, 192, 16, 32, 16
-ROUNDS, SHARE, BATCH, AT_ONCE, RATE = 2, 2, 128, 32, 0.004
-BOS, PAD = SYMBOLS, SYMBOLS + 1
+WIDTH, HIDDEN, STEP, TOP, CLASSES = 16, 32, 16, 64, 256
+ROUNDS, SHARD, BATCH, AT_ONCE, RATE, ROW_RATE = 2, 1 << 22, 128, 64, 0.004, 0.05
+_SPAN = np.arange(WIDTH)
+FIXED = float(1 << 20)
 SCORES = "doc_id bigint, tokens bigint, log_prob double, mean_log_prob double"
 _AHEAD = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None, :]
 _MASK = np.where(_AHEAD >= 0, 0, -1e9).astype(np.float32)
 _OFFSET = np.maximum(_AHEAD, 0)
 
 
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every id its symbol and the log of its share in it."""
+def classes(counts: np.ndarray) -> np.ndarray:
+    """The class of every id: the most frequent three quarters of the classes have one id each, the others share the rest by frequency."""
+    own = CLASSES * 3 // 4
     order = np.lexsort((np.arange(len(counts)), -counts))
-    symbol = np.zeros(len(counts), np.int64)
-    symbol[order[:OWN]] = np.arange(OWN)
-    rest = order[OWN:]
-    mass = np.cumsum(counts[rest] + 1.0)
-    symbol[rest] = OWN + np.minimum((mass - mass[0]) / mass[-1] * (SYMBOLS - OWN), SYMBOLS - OWN - 1).astype(np.int64)
-    total = np.bincount(symbol, counts + 1.0, minlength=SYMBOLS)
-    return symbol, np.log((counts + 1.0) / total[symbol])
-
+    out = np.zeros(len(counts), np.int16)
+    out[order[:own]] = np.arange(min(own, len(counts)))
+    if len(counts) > own:
+        mass = np.cumsum(counts[order[own:]] + 1.0)
+        out[order[own:]] = own + np.minimum((mass - mass[0]) / mass[-1] * (CLASSES - own), CLASSES - own - 1)
+    return out
 
-def base_logits(pairs: np.ndarray) -> np.ndarray:
-    """Log frequency of each symbol after each (PAD and BOS included), from counts of pairs."""
-    one = pairs.sum(0) + 1.0
-    one /= one.sum()
-    out = np.log((pairs + 5 * one) / (pairs.sum(1, keepdims=True) + 5))
-    return np.concatenate([out, np.log(one)[None]]).astype(np.float32)
 
+class Tree:
+    """A Huffman tree of ids, nodes numbered from the heaviest; an id's path is its nodes from the root and the turn at each (1 for right).
 
-def windows(symbols: np.ndarray, starts: np.ndarray, share: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (n x 2*STEP) and targets (n x STEP, -1 for none) of all windows, or one in ``share`` of every row, and the row of each.
+    Paths stand on end: those of nodes below TOP and, apart, those of the others.
+    """
 
-    ``symbols``: the rows' symbols on end, row r from starts[r] to starts[r+1].
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        weight = counts.astype(np.int64) + 1
+        heap = [(int(w), i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        up, turn, total = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8), np.concatenate([weight, np.zeros(n - 1, np.int64)])
+        for node in range(n, 2 * n - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i], up[j], turn[j], total[node] = node, node, 1, a + b
+            heapq.heappush(heap, (a + b, node))
+        rank = np.empty(n - 1, np.int64)
+        rank[np.lexsort((-np.arange(n - 1), -total[n:]))] = np.arange(n - 1)  # a parent is made after its children: of equal ones it comes first
+        self.nodes = n - 1
+        right = np.zeros(n - 1, np.int64)
+        inner = np.flatnonzero(turn)
+        np.add.at(right, rank[up[inner] - n], total[inner])
+        whole = np.zeros(n - 1, np.int64)
+        whole[rank] = total[n:]
+        self.odds = np.log(right / (whole - right)).astype(np.float32)
+        who, node, bit, depth, at, d = [], [], [], [], np.arange(n), 0
+        ids, live = np.arange(n), np.ones(n, bool)
+        while live.any():
+            ids, at, d = ids[live], at[live], d + 1
+            who.append(ids)
+            node.append(rank[up[at] - n])
+            bit.append(turn[at])
+            depth.append(np.full(len(ids), d))
+            at = up[at]
+            live = at != 2 * n - 2
+        who, node, bit, depth = (np.concatenate(x) for x in (who, node, bit, depth))
+        order = np.lexsort((-depth, who))
+        who, node, bit = who[order], node[order].astype(np.int32), bit[order].astype(np.float32)
+        self.parts = []
+        for some in (node < TOP, node >= TOP):
+            cut = np.concatenate([[0], np.cumsum(np.bincount(who[some], minlength=n))])
+            self.parts.append((cut, node[some], bit[some]))
+
+    def entries(self, ids: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ids' paths: the place of the id among ``ids``, the node and the turn."""
+        cut, node, bit = self.parts[part]
+        many = cut[ids + 1] - cut[ids]
+        place = np.repeat(np.arange(len(ids)), many)
+        flat = np.repeat(cut[ids] - (np.cumsum(many) - many), many) + np.arange(len(place))
+        return place, node[flat], bit[flat]
+
+
+def windows(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (n x 2*STEP; id ``size`` begins a text, ``size + 1`` is nothing) and targets (n x STEP, -1 for none) of all windows, and the row of each.
+
+    ``ids``: the rows' ids on end, row r from starts[r] to starts[r+1].
     """
-    size = np.diff(starts)
-    many = -(-size // STEP)
-    row = np.repeat(np.arange(len(size)), many)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    if share > 1:
-        mine = (np.arange(len(row)) + 7 * row) % share == turn % share
-        row, nth = row[mine], nth[mine]
+    ids = ids.astype(np.int32)
+    many = np.diff(starts)
+    count = -(-many // STEP)
+    row = np.repeat(np.arange(len(many)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     place = nth[:, None] * STEP + np.arange(-STEP, STEP)[None, :]  # input i is the token before token i of the row
     at = starts[row][:, None] + place - 1
-    x = np.where((place > 0) & (place <= size[row][:, None]), symbols[np.clip(at, 0, max(0, len(symbols) - 1))], np.where(place == 0, BOS, PAD))
-    target = place[:, STEP:]
-    y = np.where(target < size[row][:, None], symbols[np.clip(at[:, STEP:] + 1, 0, max(0, len(symbols) - 1))], -1)
+    last = max(0, len(ids) - 1)
+    x = np.where((place > 0) & (place <= many[row][:, None]), ids[np.clip(at, 0, last)], np.where(place == 0, size, size + 1)).astype(np.int32) if len(row) else np.zeros((0, 2 * STEP), np.int32)
+    y = np.where(place[:, STEP:] < many[row][:, None], ids[np.clip(at[:, STEP:] + 1, 0, last)], -1).astype(np.int32) if len(row) else np.zeros((0, STEP), np.int32)
     return x, y, row
 
 
-SHAPES = {"E": (SYMBOLS + 2, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "rel": (2 * STEP,), "O": (WIDTH, WIDTH),
-          "R": (WIDTH, WIDTH), "A": (WIDTH, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, WIDTH), "U": (WIDTH, SYMBOLS)}
+SHAPES = {"Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "rel": (2 * STEP,), "O": (WIDTH, WIDTH), "R": (WIDTH, WIDTH), "A": (WIDTH, HIDDEN), "a": (HIDDEN,), "B": (HIDDEN, WIDTH), "T": (TOP, WIDTH)}
 
 
-def first_weights(seed: int = 5) -> dict[str, np.ndarray]:
+def first_weights(size: int, nodes: int, seed: int = 5) -> dict[str, np.ndarray]:
+    """Dense weights, the embeddings E (two more than ids) and the nodes' vectors N (those below TOP are T's)."""
     rng = np.random.default_rng(seed)
-    scale = {"E": 0.5, "rel": 0.0, "a": 0.0, "U": 0.05}
-    return {k: (rng.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in SHAPES.items()}
+    scale = {"rel": 0.0, "a": 0.0, "T": 0.0}
+    w = {k: (rng.standard_normal(s) * scale.get(k, 0.25)).astype(np.float32) for k, s in SHAPES.items()}
+    return w | {"E": (rng.standard_normal((size + 2, WIDTH)) * 0.5).astype(np.float32), "N": np.zeros((max(nodes, 1), WIDTH), np.float32)}
 
 
 def heads(w: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None) -> tuple:
-    """All steps' values for windows x up to the vector that the logits are made of."""
-    tq, tk, tv = tables or tuple(w["E"] @ w[n] for n in "QKV")
-    late = x[:, STEP:]
-    q, k, v, e = tq[late], tk[x], tv[x], w["E"][late].reshape(-1, WIDTH)
+    """All steps' values for windows x up to the vector that the odds are made of."""
+    if tables:
+        late = x[:, STEP:]
+        q, k, v, e = tables[0].take(late, 0), tables[1].take(x, 0), tables[2].take(x, 0), tables[3].take(late, 0).reshape(-1, WIDTH)
+        r0 = e
+    else:
+        every = w["E"].take(x, 0)
+        e = every[:, STEP:].reshape(-1, WIDTH)
+        q, k, v = (e @ w["Q"]).reshape(len(x), STEP, WIDTH), every @ w["K"], every @ w["V"]
+        r0 = e @ w["R"]
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= WIDTH**-0.5
     s += w["rel"][_OFFSET] + _MASK
     np.exp(np.minimum(s, 30, out=s), out=s)
     s *= 1 / s.sum(2, keepdims=True)
     c = np.matmul(s, v).reshape(-1, WIDTH)
-    h = c @ w["O"] + e @ w["R"]
+    h = c @ w["O"] + r0
     r = np.maximum(h @ w["A"] + w["a"], 0)
     return q, k, v, s, c, e, h, r, h + r @ w["B"]
 
 
-def log_probs(w: dict[str, np.ndarray], base: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Log probability of each target (0 where there is none)."""
-    out = np.zeros(y.shape)
-    tables = tuple(w["E"] @ w[n] for n in "QKV")
-    logits, more, ones = *(np.empty((AT_ONCE * STEP, SYMBOLS), np.float32) for _ in range(2)), np.ones(SYMBOLS, np.float32)
-    rows = np.arange(AT_ONCE * STEP)
-    for a in range(0, len(x), AT_ONCE):
-        part = x[a:a + AT_ONCE]
-        t = y[a:a + AT_ONCE].ravel()
-        p, m = logits[:len(t)], more[:len(t)]
-        np.take(base, part[:, STEP:].ravel(), axis=0, out=p, mode="clip")
-        p += np.matmul(heads(w, part, tables)[-1], w["U"], out=m)
-        own = p[rows[:len(t)], np.maximum(t, 0)]
-        np.exp(p, out=p)
-        out[a:a + AT_ONCE] = np.where(t >= 0, own - np.log(p @ ones), 0).reshape(-1, STEP)
-    return out
+def odds(w: dict[str, np.ndarray], m: dict, u: np.ndarray, before: np.ndarray, t: np.ndarray) -> tuple:
+    """Of targets t after ids ``before``, given vectors u: for both parts of their paths place, node, turn and log odds of right."""
+    tree: Tree = m["tree"]
+    p0, n0, b0 = tree.entries(t, 0)
+    z = u @ w["T"].T
+    l0 = z.ravel().take(p0 * TOP + n0) + m["base"].ravel().take(m["class"][before].astype(np.int64).take(p0) * TOP + n0)
+    p1, n1, b1 = tree.entries(t, 1)
+    l1 = np.einsum("ij,ij->i", w["N"].take(n1, 0), u.take(p1, 0)) + tree.odds.take(n1)
+    return (p0, n0, b0, l0), (p1, n1, b1, l1)
 
 
-def _scatter(x: np.ndarray, g: np.ndarray) -> np.ndarray:
-    at = (x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-    return np.bincount(at, g.ravel(), minlength=(SYMBOLS + 2) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
-
-
-@functools.lru_cache(2)
-def _room(n: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two places for the logits of n targets, used again by every step."""
-    return np.empty((n, SYMBOLS), kind), np.empty((n, SYMBOLS), kind)
-
-
-def gradients(w: dict[str, np.ndarray], base: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the targets and its gradients."""
-    q, k, v, s, c, e, h, r, u = heads(w, x)
-    p, b = (a[:y.size] for a in _room(max(y.size, BATCH * STEP), u.dtype.str))
-    np.matmul(u, w["U"], out=p)
-    p += np.take(base, x[:, STEP:].ravel(), axis=0, out=b, mode="clip") if base.dtype == p.dtype else base[x[:, STEP:].ravel()]
-    t = y.ravel()
-    live = t >= 0
-    p -= p.max(1, keepdims=True)
-    np.exp(p, out=p)
-    p *= 1 / p.sum(1, keepdims=True)
-    here = np.arange(len(t)), np.maximum(t, 0)
-    n = max(1, int(live.sum()))
-    loss = float(-np.log(p[here][live] + 1e-30).sum() / n)
-    p[here] -= 1
-    p *= (live / n).astype(np.float32)[:, None]
-    g = {"U": u.T @ p}
-    du = p @ w["U"].T
+def _log_sigmoid(x: np.ndarray) -> np.ndarray:
+    return -np.log(1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def log_probs(w: dict[str, np.ndarray], m: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log probability of each target (0 where there is none)."""
+    out = np.zeros(y.size)
+    tables = m.get("tables") or (w["E"] @ w["Q"], w["E"] @ w["K"], w["E"] @ w["V"], w["E"] @ w["R"])
+    for a in range(0, len(x), AT_ONCE):
+        part, t = x[a:a + AT_ONCE], y[a:a + AT_ONCE].ravel()
+        live = np.flatnonzero(t >= 0)
+        u = heads(w, part, tables)[-1][live]
+        total = np.zeros(len(live))
+        for p, _, b, l in odds(w, m, u, part[:, STEP:].ravel()[live], t[live]):
+            total += np.bincount(p, _log_sigmoid(np.where(b > 0, l, -l)), minlength=len(live))
+        out[a * STEP + live] = total
+    return out.reshape(y.shape)
+
+
+def _by_place(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed by place, n of them."""
+    return np.bincount((place[:, None] * WIDTH + _SPAN).ravel(), values.ravel(), minlength=n * WIDTH).reshape(n, WIDTH).astype(values.dtype)
+
+
+def _rows_sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (below 65 536, so that sorting is by digits), the sum of their rows of values and how many they had."""
+    keys = keys.astype(np.uint16)
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return k[first].astype(np.int64), _by_place(place, values, len(first)), np.diff(first, append=len(k))
+
+
+def keep_memory() -> None:
+    """Asks the C library to keep freed arrays for the next step: giving each back to the system and taking it again costs more than the sums in it."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 64 << 20)  # from which size on memory is mapped apart
+        libc.mallopt(-1, 128 << 20)  # how much is kept at the top
+    except (OSError, AttributeError):
+        pass
+
+
+def gradients(w: dict[str, np.ndarray], m: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], dict[str, tuple]]:
+    """Mean loss over the targets, its gradients by the dense weights, and (rows, gradients, how often) by the tables E and N."""
+    q, k, v, s, c, e, h, r, u_all = heads(w, x)
+    flat = y.ravel()
+    live = np.flatnonzero(flat >= 0)
+    t, before, n = flat[live], x[:, STEP:].ravel()[live], max(1, len(live))
+    u = u_all[live]
+    (p0, n0, b0, l0), (p1, n1, b1, l1) = odds(w, m, u, before, t)
+    loss = -float(_log_sigmoid(np.where(b0 > 0, l0, -l0)).sum() + _log_sigmoid(np.where(b1 > 0, l1, -l1)).sum()) / n
+    g0, g1 = ((1 / (1 + np.exp(-np.clip(l, -30, 30))) - b) / n for l, b in ((l0, b0), (l1, b1)))
+    dz = np.zeros((len(live), TOP), u.dtype)
+    dz.ravel()[p0 * TOP + n0] = g0
+    g = {"T": dz.T @ u}
+    own = dz @ w["T"]
+    own += _by_place(p1, g1[:, None] * w["N"].take(n1, 0), len(live))
+    rows_n = _rows_sum(n1, g1[:, None] * u.take(p1, 0))
+    du = np.zeros_like(u_all)
+    du[live] = own
     g["B"] = r.T @ du
     dr = (du @ w["B"].T) * (r > 0)
     g["A"], g["a"] = h.T @ dr, dr.sum(0)
@@ -174,38 +258,69 @@ def gradients(w: dict[str, np.ndarray], base: np.ndarray, x: np.ndarray, y: np.n
     dc = (dh @ w["O"].T).reshape(len(x), STEP, WIDTH)
     ds = np.matmul(dc, v.transpose(0, 2, 1))
     dv = np.matmul(s.transpose(0, 2, 1), dc)
-    ds -= (ds * s).sum(2, keepdims=True)
+    ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
     ds *= s
-    g["rel"] = np.bincount(_OFFSET.ravel(), (ds.sum(0) * (_AHEAD >= 0)).ravel(), minlength=2 * STEP).astype(np.float32)
+    g["rel"] = np.bincount(_OFFSET.ravel(), (ds.sum(0) * (_AHEAD >= 0)).ravel(), minlength=2 * STEP).astype(u.dtype)
     ds *= WIDTH**-0.5
-    dq, dk = _scatter(x[:, STEP:], np.matmul(ds, k)), _scatter(x, np.matmul(ds.transpose(0, 2, 1), q))
-    dv = _scatter(x, dv)
-    g["Q"], g["K"], g["V"] = w["E"].T @ dq, w["E"].T @ dk, w["E"].T @ dv
-    g["E"] = dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T + _scatter(x[:, STEP:], dh @ w["R"].T)
-    return loss, g
+    dq, dk = np.matmul(ds, k).reshape(-1, WIDTH), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH)
+    every, dv = w["E"].take(x, 0).reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
+    g["Q"], g["K"], g["V"] = e.T @ dq, every.T @ dk, every.T @ dv
+    de = (dk @ w["K"].T + dv @ w["V"].T).reshape(len(x), 2 * STEP, WIDTH)
+    de[:, STEP:] += (dq @ w["Q"].T + dh @ w["R"].T).reshape(len(x), STEP, WIDTH)
+    return loss, g, {"E": _rows_sum(x.ravel(), de.reshape(-1, WIDTH)), "N": rows_n}
+
 
+class Optimiser:
+    """Adam for the dense weights; for the rows of the tables, steps by the root of their summed squares."""
 
-class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float = RATE):
-        self.w, self.rate, self.t = {k: v.copy() for k, v in w.items()}, rate, 0
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    def __init__(self, w: dict[str, np.ndarray], rate: float = 1.0):
+        self.w, self.rate, self.t, self.seen = {k: v.copy() for k, v in w.items()}, rate, 0, 0
+        self.m, self.s = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
+        self.squares, self.touched = ({k: np.zeros(len(w[k]), kind) for k in "EN"} for kind in (np.float32, np.int64))
 
-    def step(self, g: dict[str, np.ndarray]) -> None:
-        self.t += 1
-        rate = self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
+    def step(self, g: dict[str, np.ndarray], rows: dict[str, tuple], windows: int) -> None:
+        self.t, self.seen = self.t + 1, self.seen + windows
+        rate = self.rate * RATE * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
         for k, d in g.items():
             self.m[k] += 0.1 * (d - self.m[k])
             self.s[k] += 0.001 * (d * d - self.s[k])
             self.w[k] -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)
+        for k, (at, d, many) in rows.items():
+            self.squares[k][at] += (d * d).mean(1)
+            self.w[k][at] -= (self.rate * ROW_RATE * d / (np.sqrt(self.squares[k][at])[:, None] + 1e-8)).astype(np.float32)
+            self.touched[k][at] += many
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, weight and values (WIDTH of each, times the weight, in whole numbers) of all that was trained: dense weights first, then rows of E and N."""
+        d = flat(self.w)
+        keys, many, values = [np.arange(len(d))], [np.full(len(d), self.seen)], [d]
+        base = len(d)
+        for k in "EN":
+            at = np.flatnonzero(self.touched[k])
+            keys.append(base + at)
+            many.append(self.touched[k][at])
+            values.append(self.w[k][at])
+            base += len(self.w[k])
+        n = np.concatenate(many)
+        return np.concatenate(keys), n, np.round(np.concatenate(values).astype(np.float64) * n[:, None] * FIXED).astype(np.int64)
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES])
+    """The dense weights as rows of WIDTH."""
+    v = np.concatenate([w[k].ravel() for k in SHAPES])
+    return np.concatenate([v, np.zeros(-len(v) % WIDTH, np.float32)]).reshape(-1, WIDTH)
 
 
-def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
-    cuts = np.cumsum([0, *[int(np.prod(s)) for s in SHAPES.values()]])
-    return {k: v[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(SHAPES.items(), cuts, cuts[1:])}
+def averaged(w: dict[str, np.ndarray], keys: np.ndarray, many: np.ndarray, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights with the rows that were trained in place of the old ones."""
+    dense = flat(w)
+    rows = np.concatenate([dense, w["E"], w["N"]])
+    rows[keys] = (values / (many[:, None] * FIXED)).astype(np.float32)
+    v, out, at = rows[:len(dense)].ravel(), {}, 0
+    for k, s in SHAPES.items():
+        out[k] = v[at:at + int(np.prod(s))].reshape(s).copy()
+        at += int(np.prod(s))
+    return out | {"E": rows[len(dense):len(dense) + len(w["E"])], "N": rows[len(dense) + len(w["E"]):]}
 
 
 def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -217,18 +332,20 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sums(df: DataFrame, size: int) -> np.ndarray:
     """Column n summed by the number i; size rows come to the driver at most."""
     got = df.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
+    out = np.zeros(size, np.int64)
     out[got.column("i").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
 def _rows_of(counts: np.ndarray) -> pa.RecordBatch:
     some = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.float64))], ["i", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["i", "n"])
 
 
 def token_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and ids (2 bytes each) of every document, written."""
+    if tokens_of(vocabulary).width != 2:
+        raise ValueError("the model is for vocabularies of up to 65 536 ids")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(vocabulary)
@@ -240,8 +357,49 @@ def token_table(docs: DataFrame, vocabulary: str) -> DataFrame:
     return written(d.mapInArrow(encode, "doc_id bigint, ids binary"), "token-ids")
 
 
-def learn(tokens: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: int = SHARE) -> dict:
-    """Symbols, shares, base logits and weights."""
+def base_odds(counts: np.ndarray, tree: Tree) -> np.ndarray:
+    """Log odds of right at the TOP nodes after each class (the last for a text's start), from counts of both turns."""
+    own = tree.odds[:TOP].astype(np.float64)
+    right = np.zeros(TOP)
+    right[:len(own)] = 1 / (1 + np.exp(-own))
+    c = counts.reshape(CLASSES + 1, TOP, 2)
+    return np.log((c[:, :, 1] + 5 * right + 1e-6) / (c[:, :, 0] + 5 * (1 - right) + 1e-6)).astype(np.float32)
+
+
+def trained_rows(m: dict, batches: Iterator[pa.RecordBatch], rate: float, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of the weights of every shard (column 0; rows come shard by shard, ids in column 1)."""
+    own, shard, held = None, None, []
+    keep_memory()
+
+    def steps(least: int) -> None:
+        while held and sum(len(h[0]) for h in held) >= least:
+            x, y = (np.concatenate([h[i] for h in held]) for i in range(2))
+            for a in range(0, len(x) - BATCH + 1 if least > 1 else len(x), BATCH):
+                own.step(*gradients(own.w, m, x[a:a + BATCH], y[a:a + BATCH])[1:], len(x[a:a + BATCH]))
+            held[:] = [(x[len(x) - len(x) % BATCH:], y[len(x) - len(x) % BATCH:])] if least > 1 and len(x) % BATCH else []
+
+    for b in batches:
+        numbers = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if numbers[lo] != shard:
+                if own:
+                    steps(1)
+                    yield own.rows()
+                own, shard = Optimiser(m["weights"], rate), numbers[lo]
+            for part in batches_of(b.slice(lo, hi - lo), 1, 1 << 19):
+                ids, starts = _ids(part.column(1))
+                held.append(windows(ids, starts, size)[:2])
+                steps(BATCH)
+    if own:
+        steps(1)
+        yield own.rows()
+
+
+def learn(tokens: DataFrame, vocabulary: str, rounds: int = ROUNDS, shard: int = SHARD) -> dict:
+    """Classes, tree, base odds and weights."""
     size = tokens_of(vocabulary).size
 
     def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,61 +408,49 @@ def learn(tokens: DataFrame, vocabulary: str, rounds: int = ROUNDS, share: int =
             counts += np.bincount(_ids(b.column(0))[0], minlength=size)
         yield _rows_of(counts)
 
-    symbol, inside = classes(_sums(tokens.select("ids").mapInArrow(count_ids, "i int, n double"), size))
-    model = {"symbol": symbol.astype(np.int16), "share": inside.astype(np.float32)}
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    counts = _sums(tokens.select("ids").mapInArrow(count_ids, "i int, n bigint"), size)
+    m = {"class": np.append(classes(counts), [CLASSES, CLASSES]).astype(np.int16), "tree": Tree(counts)}
+    shared = tokens.sparkSession.sparkContext.broadcast(m)
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((SYMBOLS + 1) * SYMBOLS, np.int64)
-        for b in batches:
+    def count_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, tree = shared.value["class"], shared.value["tree"]
+        turns = np.zeros((CLASSES + 1) * TOP * 2, np.int64)
+        for b in (part for whole in batches for part in batches_of(whole, 0, 1 << 20)):
             ids, starts = _ids(b.column(0))
-            s = shared.value["symbol"][ids].astype(np.int64)
-            before = np.concatenate([[BOS], s[:-1]]) if len(s) else s
-            before[starts[:-1][np.diff(starts) > 0]] = BOS
-            counts += np.bincount(before * SYMBOLS + s, minlength=len(counts))
-        yield _rows_of(counts)
-
-    pairs = _sums(tokens.select("ids").mapInArrow(count_pairs, "i int, n double"), (SYMBOLS + 1) * SYMBOLS).reshape(-1, SYMBOLS)
-    model |= {"base": base_logits(pairs), "weights": first_weights()}
-
+            before = np.concatenate([[CLASSES], of[ids[:-1]]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+            before[starts[:-1][np.diff(starts) > 0]] = CLASSES
+            # pairs first: each pair of class and id walks its path once
+            pair, n = np.unique(before * size + ids.astype(np.int64), return_counts=True)
+            place, node, bit = tree.entries(pair % size, 0)
+            turns += np.bincount((pair[place] // size * TOP + node) * 2 + bit.astype(np.int64), n[place], minlength=len(turns)).astype(np.int64)
+        yield _rows_of(turns)
+
+    turns = _sums(tokens.select("ids").mapInArrow(count_turns, "i int, n bigint"), (CLASSES + 1) * TOP * 2)
+    m |= {"base": base_odds(turns, m["tree"]), "weights": first_weights(size, m["tree"].nodes)}
+    shards = int(max(1, -(-counts.sum() // (shard * max(1, rounds)))))
+    dealt = tokens.filter(F.length("ids") > 0).withColumn("deal", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards * max(1, rounds))))
+    values = [f"v{i}" for i in range(WIDTH)]
+    schema = "i int, n bigint, " + ", ".join(f"{v} bigint" for v in values)
     for turn in range(rounds):
-        start = tokens.sparkSession.sparkContext.broadcast(model)
+        start = tokens.sparkSession.sparkContext.broadcast(m)
 
         def train(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            m = start.value
-            adam, seen = Adam(m["weights"], RATE / (1 + 2 * turn)), 0
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def steps(least: int) -> None:
-                nonlocal seen
-                while held and sum(len(h[0]) for h in held) >= least:
-                    x, y = (np.concatenate([h[i] for h in held]) for i in range(2))
-                    adam.step(gradients(adam.w, m["base"], x[:BATCH], y[:BATCH])[1])
-                    seen += min(BATCH, len(x))
-                    held[:] = [(x[BATCH:], y[BATCH:])] if len(x) > BATCH else []
-
-            for b in batches:
-                for part in batches_of(b, "ids", 1 << 20):
-                    ids, starts = _ids(part.column(0))
-                    held.append(windows(m["symbol"][ids].astype(np.int64), starts, share, turn)[:2])
-                    steps(BATCH)
-            steps(1)
-            if seen:
-                v = np.append(flat(adam.w).astype(np.float64), 1.0) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], ["i", "n"])
-
-        n = len(flat(model["weights"]))
-        total = _sums(tokens.select("ids").mapInArrow(train, "i int, n double"), n + 1)
-        if total[n]:
-            model = model | {"weights": unflat(total[:n] / total[n])}
-    return model
-
-
-def score_tokens(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            for keys, many, v in trained_rows(start.value, batches, 1 / (1 + turn), size):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(many), *(pa.array(v[:, i]) for i in range(WIDTH))], ["i", "n", *values])
+
+        mine = dealt.filter(F.pmod("deal", F.lit(max(1, rounds))) == turn).select(F.floor(F.col("deal") / max(1, rounds)).cast("int").alias("shard"), "ids", "doc_id")
+        placed = mine.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids").select("shard", "ids")
+        got = placed.mapInArrow(train, schema).groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(v).alias(v) for v in values)).toArrow()  # as many rows as the tables have
+        if got.num_rows:
+            m = m | {"weights": averaged(m["weights"], got.column("i").to_numpy(), got.column("n").to_numpy(), np.stack([got.column(v).to_numpy() for v in values], 1))}
+    w = m["weights"]
+    return m | {"tables": (w["E"] @ w["Q"], w["E"] @ w["K"], w["E"] @ w["V"], w["E"] @ w["R"])}
+
+
+def score_tokens(m: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of the log probabilities of each row's tokens."""
-    x, y, row = windows(model["symbol"][ids].astype(np.int64), starts)
-    total = np.bincount(row, log_probs(model["weights"], model["base"], x, y).sum(1), minlength=len(starts) - 1)
-    return total + np.diff(np.concatenate([[0], np.cumsum(model["share"][ids], dtype=np.float64)])[starts])
+    x, y, row = windows(ids, starts, len(m["class"]) - 2)
+    return np.bincount(row, log_probs(m["weights"], m, x, y).sum(1), minlength=len(starts) - 1)
 
 
 def score(docs: DataFrame, vocabulary: str | None = None, **how) -> DataFrame:
@@ -314,8 +460,9 @@ def score(docs: DataFrame, vocabulary: str | None = None, **how) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(learn(tokens, vocabulary, **how))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for b in batches:
-            for part in batches_of(b, "ids", 1 << 20):
+            for part in batches_of(b, "ids", 1 << 19):
                 ids, starts = _ids(part.column(1))
                 n, total = np.diff(starts), score_tokens(shared.value, ids, starts)
                 mean = pd.Series(total / np.maximum(n, 1)).where(n > 0).round(6)
