@@ -50,7 +50,7 @@ from docgraph.llm.common import Columns, batches_of, table, written
 from docgraph.llm.records import default_vocabulary, tokens_of
 
 WIDTH, HIDDEN, STEP, TOP, CLASSES = 16, 32, 16, 64, 256
-ROUNDS, SHARD, BATCH, AT_ONCE, RATE, ROW_RATE = 2, 1 << 22, 128, 64, 0.004, 0.05
+ROUNDS, SHARD, BATCH, AT_ONCE, RATE, ROW_RATE = 2, 1 << 20, 128, 64, 0.004, 0.05
 _SPAN = np.arange(WIDTH)
 FIXED = float(1 << 20)
 SCORES = "doc_id bigint, tokens bigint, log_prob double, mean_log_prob double"

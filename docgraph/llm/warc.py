@@ -11,13 +11,18 @@ response's own.
 revisit has no validator, or the response lacks its counterpart); 'orphan'
 (no earlier full response).  Only a resolved revisit has payload and headers.
 
-The join is one window over the union of both kinds, hashed by canonical URL
-and sorted by time: one shuffle, with running state of one row a URL.
+The join takes two steps.  A window over both kinds without their payloads,
+hashed by canonical URL and sorted by time, with running state of one row,
+names each revisit's response; however often one URL is captured, only narrow
+rows of it meet in a task.  Then responses come to their revisits by URL, time
+and id, so that payloads are spread by capture and move once.  Revisits
+without URL or time can't match and take no part in either.
 
 Nulls: a record with null URL or time is an orphan if a revisit and never a
 match; null headers are no headers; a null or empty validator is none; an
 empty or very long payload is a payload.  Of responses captured at one time
-the one with the greatest record id counts.  Repeated revisits each get a row.
+the one with the greatest record id counts; those alike in URL, time and id are
+one, whichever comes first.  Repeated revisits each get a row.
 Empty input gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
@@ -52,11 +57,17 @@ def _tag(etag: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records``: record_id, url, ts (number), kind ('response', 'revisit'), status, headers (map with lower-case names), payload."""
     r = Columns(records, ["record_id", "url", "ts", "kind", "status", "headers", "payload"]).only()
-    r = r.filter("kind = 'revisit' or (kind = 'response' and status = 200 and url is not null and ts is not null)")
     r = r.withColumns({"canonical": canonical_url(F.col("url")), "is_full": F.when(F.col("kind") == "response", 1).otherwise(0)})
-    before = Window.partitionBy("canonical").orderBy(F.col("ts").asc_nulls_first(), "is_full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.when(F.col("is_full") == 1, F.struct("record_id", "headers", "payload"))
-    found = r.withColumn("full", F.last(full, ignorenulls=True).over(before)).filter("is_full = 0")
+    placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    responses = r.filter("kind = 'response' and status = 200").filter(placed)
+    revisits = r.filter("kind = 'revisit'")
+    narrow = ["record_id", "canonical", "ts", "is_full", "headers"]
+    before = Window.partitionBy("canonical").orderBy("ts", "is_full", F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    named = (responses.select(*narrow).withColumn("headers", F.lit(None).cast("map<string,string>")).unionByName(revisits.filter(placed).select(*narrow))
+             .withColumn("source", F.last(F.when(F.col("is_full") == 1, F.struct("ts", "record_id")), ignorenulls=True).over(before)).filter("is_full = 0"))
+    every = named.unionByName(revisits.filter(~placed).select(*narrow).withColumn("source", F.lit(None).cast(named.schema["source"].dataType)))
+    full = responses.groupBy(F.col("canonical").alias("fc"), F.col("ts").alias("ft"), F.col("record_id").alias("fr")).agg(F.first(F.struct("record_id", "headers", "payload")).alias("full"))
+    found = every.join(full, (F.col("canonical") == F.col("fc")) & (F.col("source.ts") == F.col("ft")) & F.col("source.record_id").eqNullSafe(F.col("fr")), "left").drop("fc", "ft", "fr", "source")
     old = F.coalesce(F.col("full.headers"), F.create_map().cast("map<string,string>"))
     new = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
     field = lambda m, n: F.try_element_at(m, F.lit(n))
