@@ -8,7 +8,9 @@ statistics is joined by broadcast.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +64,16 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
 
 
 def trigram_postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """gram, key: which chunks have which three characters."""
-    low = F.lower(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
-    return chunks.filter(F.length(text) > 2).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    """gram, key: which chunks have which three characters. A text's own are told apart before anything is shuffled."""
+    kind = dict(chunks.dtypes)[key]
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1).to_pylist()):
+                own = sorted({t[i:i + 3] for i in range(len(t) - 2)}) if t else []
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(own), b.schema.field(0).type), pa.array(own, pa.string())], [key, "gram"])
+
+    return chunks.select(key, F.lower(F.col(text)).alias("low")).mapInArrow(grams, f"{key} {kind}, gram string")
 
 
 def corpus_facts(chunks: DataFrame, text: str = "text") -> DataFrame:
