@@ -61,13 +61,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     placed = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
     responses = r.filter("kind = 'response' and status = 200").filter(placed)
     revisits = r.filter("kind = 'revisit'")
+    key = lambda i: F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit(""))  # noqa: E731 - never null: grouped and joined by plain equality, payloads move once
     narrow = ["record_id", "canonical", "ts", "is_full", "headers"]
     before = Window.partitionBy("canonical").orderBy("ts", "is_full", F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     named = (responses.select(*narrow).withColumn("headers", F.lit(None).cast("map<string,string>")).unionByName(revisits.filter(placed).select(*narrow))
              .withColumn("source", F.last(F.when(F.col("is_full") == 1, F.struct("ts", "record_id")), ignorenulls=True).over(before)).filter("is_full = 0"))
     every = named.unionByName(revisits.filter(~placed).select(*narrow).withColumn("source", F.lit(None).cast(named.schema["source"].dataType)))
-    full = responses.groupBy(F.col("canonical").alias("fc"), F.col("ts").alias("ft"), F.col("record_id").alias("fr")).agg(F.first(F.struct("record_id", "headers", "payload")).alias("full"))
-    found = every.join(full, (F.col("canonical") == F.col("fc")) & (F.col("source.ts") == F.col("ft")) & F.col("source.record_id").eqNullSafe(F.col("fr")), "left").drop("fc", "ft", "fr", "source")
+    full = responses.groupBy(F.col("canonical").alias("fc"), F.col("ts").alias("ft"), key(F.col("record_id")).alias("fr")).agg(F.first(F.struct("record_id", "headers", "payload")).alias("full"))
+    wanted = every.withColumns({"fc": F.col("canonical"), "ft": F.col("source.ts"), "fr": F.when(F.col("source").isNotNull(), key(F.col("source.record_id")))}).drop("source")
+    found = wanted.join(full, ["fc", "ft", "fr"], "left").drop("fc", "ft", "fr")
     old = F.coalesce(F.col("full.headers"), F.create_map().cast("map<string,string>"))
     new = F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>"))
     field = lambda m, n: F.try_element_at(m, F.lit(n))
