@@ -99,7 +99,7 @@ def test_search_by_meaning(g):
     assert embed.rerank(hits, "long note on", embed.overlap).orderBy("score", ascending=False).first().chunk_id.startswith("town::house")
     whole = chunks.full_context(store["chunks"].filter("object_id = 'town::house'"), store["chunks"]).first()
     assert whole.chunks == 2 and whole.context.startswith("Place: House")
-    up = chunks.parent_context(store["chunks"].filter("chunk_type = 'child'").select("chunk_id"), store["chunks"]).first()
+    up = chunks.parent_context(store["chunks"].filter("chunk_type = 'child' and object_id = 'town::house'").select("chunk_id"), store["chunks"]).first()
     assert up.parent_text.startswith("Place: House")
     assert chunks.delete(store["chunks"], store["chunks"].filter("chunk_id = 'town::house'")).filter("object_id = 'town::house'").count() == 0
     assert {(r.source_id, r.target_id) for r in chunks.explicit_edges(g.refs.selectExpr("__workspace", "__namespace", "__id", "raw", "'f' as source_field"), g.objects).collect()} >= {("town::ann", "town::house")}
