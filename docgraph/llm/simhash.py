@@ -1,26 +1,27 @@
-"""SimHash near-dedup by anchor-point covering.
+"""SimHash near-dedup, exact in the distance of fingerprints.
 
 A text's fingerprint has 256 bits: each the sign of a sum over its words, in
 lower case, of +-sqrt(count).  Two texts are near copies if their fingerprints
 differ in ``DISTANCE`` bits at most.
 
-The first 64 bits are four blocks of 16.  The anchors of a block are the words
-of a covering code: the perfect Hamming code of length 15 (covering radius 1)
-with the 16th bit as it is, 4096 anchors.  A fingerprint's home is the nearest
-anchor.  Each fingerprint is replicated, in every block, to all anchors within
-the covering radius plus a block's threshold of 1, 8.5 on average; these are
-the anchors that any block within 1 bit of it has for a home.  Per anchor, the
-fingerprints at home there are compared with all that came there, on all 256
-bits.  Fingerprints that differ in up to 7 of the first 64 bits differ in at
-most 1 bit of some block, so they are certain to meet; those with more usually
-do (tests measure the recall against brute force).
+All such pairs are found.  The 256 bits are 12 blocks of 20 and one of 16, and
+each block has a quota; the quotas sum to ``DISTANCE + 1``.  By the pigeonhole
+on a ring two near copies differ, from some block on, in fewer bits than that
+block's quota, and in fewer than the quotas' sum over it and the two blocks
+after it.  So rows are looked up by each block's value and all values that are
+near enough, what is found is checked on 60 bits and then on all 256.  Where a
+side is small or a distance large, all pairs are compared instead.
 
 Equal fingerprints are one row throughout, however many documents have them.
-Within an anchor near copies are merged and only a spanning tree of them
-leaves it, so that a group of n copies makes of the order of n rows, not n^2.
-Groups are the connected components over all anchors, by minimum labels with
-pointer jumping; each round is written to the shared folder.  The document
-with the least doc_id of a group stays.
+Fingerprints are dealt to chunks by a hash, at most ``CHUNK`` in one on average,
+and every pair of chunks (and each chunk with itself) is one task: memory and
+the largest task are bounded, each row is sent once per chunk.  Time grows with
+the square of the distinct fingerprints, by the share of pairs that is looked
+up.  A task gives each row's link to the first of its class there, so that a
+group of n copies makes of the order of n rows, not n^2.  Groups are the
+connected components over all tasks, by minimum labels with pointer jumping;
+each round is written to the shared folder.  The document with the least doc_id
+of a group stays.
 
 Nulls: a text that is null, empty or without a word has no fingerprint and is
 never a copy.  Rows with a null doc_id (or one that is no whole number) take
@@ -33,6 +34,7 @@ empty table gives an empty result.  Extra columns pass through
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ from docgraph.llm.common import Columns, batches_of, mix64, span_hashes, table,
 
 DISTANCE = 36
 PARTS = 4
+CHUNK, CHUNKS, SMALL = 1 << 19, 6, 1 << 12  # rows of a chunk; as many chunks at least, unless they were smaller than SMALL
+WIDTHS = [20] * 12 + [16]
+AT_ONCE = 1 << 17
 NAMES = [f"f{i}" for i in range(PARTS)]
 _FP = ", ".join(f"{n} bigint" for n in NAMES)
 PRINTS = f"doc_id bigint, text_hash bigint, {_FP}"
@@ -81,7 +86,10 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hamming_tables() -> tuple[np.ndarray, np.ndarray]:
-    """home[v], and visits[v]: the homes of all blocks within 1 bit of v, filled up with -1."""
+    """A covering code of 16 bits, which near copies are no longer found by.
+
+    home[v], and visits[v]: the homes of all blocks within 1 bit of v, filled up with -1.
+    """
     v = np.arange(1 << 16)
     syndrome = np.zeros(1 << 16, np.int64)
     for i in range(1, 16):
@@ -95,59 +103,147 @@ def _hamming_tables() -> tuple[np.ndarray, np.ndarray]:
 HOME, VISITS = _hamming_tables()
 
 
-def visits(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the first parts of fingerprints: row, anchor (block * 65536 + word) and whether it is the home, of every replica."""
-    rows, anchors, homes = [], [], []
-    for block in range(4):
-        v = (first >> np.uint64(16 * block) & np.uint64(0xFFFF)).astype(np.int64)
-        r, k = np.nonzero(VISITS[v] >= 0)
-        a = VISITS[v[r], k]
-        rows.append(r)
-        anchors.append(a + (block << 16))
-        homes.append(a == HOME[v[r]])
-    return np.concatenate(rows), np.concatenate(anchors), np.concatenate(homes)
-
-
-def spanning_edges(prints: np.ndarray, home: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Edges between rows of one anchor that join all pairs (one at home) within the distance."""
-    at_home = np.flatnonzero(home)
-    parent = np.arange(len(prints))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    step = max(1, (1 << 20) // max(1, len(prints)))
-    for a in range(0, len(at_home), step):
-        own = at_home[a:a + step]
-        d = np.bitwise_count(prints[own, None, 0] ^ prints[None, :, 0]).astype(np.int16)
-        i, j = np.nonzero(d <= min(64, distance))
-        far = d[i, j].astype(np.int64)
-        for p in range(1, PARTS):
-            far += np.bitwise_count(prints[own[i], p] ^ prints[j, p])
-        ok = (far <= distance) & (own[i] != j)
-        for x, y in zip(own[i[ok]].tolist(), j[ok].tolist()):
-            rx, ry = root(x), root(y)
-            if rx != ry:
-                parent[max(rx, ry)] = min(rx, ry)
-                edges.append((x, y))
-    return edges
+def quotas(distance: int) -> list[int] | None:
+    """One more than the bits in which each block may differ, ``distance + 1`` in all; none if look-ups would take too many values."""
+    every, rest = divmod(distance + 1, len(WIDTHS) - 1)
+    if every + (rest > 1) > 3:
+        return None
+    return [every + (k < rest - 1) for k in range(len(WIDTHS) - 1)] + [min(1, rest)]
+
+
+def block(prints: np.ndarray, k: int) -> np.ndarray:
+    """Bits of block k of all fingerprints."""
+    at = sum(WIDTHS[:k])
+    word, shift = divmod(at, 64)
+    v = prints[:, word] >> np.uint64(shift)
+    if shift + WIDTHS[k] > 64:
+        v |= prints[:, word + 1] << np.uint64(64 - shift)
+    return v & np.uint64((1 << WIDTHS[k]) - 1)
+
+
+def flips(width: int, most: int) -> np.ndarray:
+    """All words of ``width`` bits with ``most`` ones or fewer."""
+    return np.array([sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(width), n)], np.int32)
+
+
+def _far(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    far = np.zeros(len(i), np.int16)
+    for p in range(PARTS):
+        far += np.bitwise_count(x[i, p] ^ y[j, p])
+    return far
+
+
+def all_pairs(x: np.ndarray, y: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and of y within the distance, tile by tile, each with each."""
+    step = max(1, (1 << 20) // max(1, len(y)))
+    for a in range(0, len(x), step):
+        far = np.zeros((len(x[a:a + step]), len(y)), np.int16)
+        for p in range(PARTS):
+            far += np.bitwise_count(x[a:a + step, None, p] ^ y[None, :, p])
+        i, j = np.nonzero(far <= distance)
+        yield i + a, j
+
+
+def looked_up_pairs(x: np.ndarray, y: np.ndarray, distance: int, quota: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and of y (the same array: each pair once at least) within the distance, by look-ups; a pair comes up to once a block."""
+    same, n = x is y, len(WIDTHS)
+    for k in range(n):
+        if not quota[k]:
+            continue
+        ring = [k, (k + 1) % n, (k + 2) % n]
+        most = sum(quota[r] for r in ring) - 1
+        sides = []
+        for prints in (x,) if same else (x, y):
+            value = block(prints, k).astype(np.int32)
+            order = np.argsort(value, kind="stable").astype(np.int32)
+            window = block(prints, ring[0]) | block(prints, ring[1]) << np.uint64(WIDTHS[ring[0]]) | block(prints, ring[2]) << np.uint64(WIDTHS[ring[0]] + WIDTHS[ring[1]])
+            sides.append((value[order], order, window[order]))
+        (vx, ox, wx), (vy, oy, wy) = sides[0], sides[-1]
+        upto = np.zeros((1 << WIDTHS[k]) + 1, np.int32)
+        np.cumsum(np.bincount(vy, minlength=1 << WIDTHS[k]), out=upto[1:])
+        masks = flips(WIDTHS[k], quota[k] - 1)
+        group = max(1, AT_ONCE // len(vx))
+        for g in range(0, len(masks), group):
+            some = masks[g:g + group, None]
+            keys = vx[None, :] ^ some
+            lo = upto.take(keys)
+            many = upto.take(keys + 1) - lo
+            if same:  # a pair is looked up from its lesser value only
+                many *= keys >= vx
+            at = np.flatnonzero(many)
+            lo, many, row = lo.ravel()[at], many.ravel()[at], at % len(vx)
+            total = np.cumsum(many, dtype=np.int64)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, "right")))
+                m = many[a:b]
+                ends = np.cumsum(m)
+                j = np.repeat(lo[a:b] - (ends - m), m) + np.arange(ends[-1])
+                near = np.flatnonzero(np.bitwise_count(np.repeat(wx[row[a:b]], m) ^ wy.take(j)) <= most)
+                if len(near):
+                    p, q = ox[row[a + np.searchsorted(ends, near, "right")]], oy[j[near]]
+                    ok = _far(x, p, y, q) <= distance
+                    yield p[ok], q[ok]
+                a = b
+
+
+class Classes:
+    """Rows joined to classes, each named by its least row."""
+
+    def __init__(self, n: int):
+        self.of, self.held, self.many = np.arange(n), [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        other = self.of[i] != self.of[j]
+        self.held.append((i[other], j[other]))
+        self.many += int(other.sum())
+        if self.many > AT_ONCE:
+            self.join()
+
+    def join(self) -> None:
+        if not self.many:
+            self.held = []
+            return
+        i, j = (np.concatenate([h[k] for h in self.held]) for k in range(2))
+        self.held, self.many = [], 0
+        while len(i):
+            a, b = self.of[i], self.of[j]
+            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                further = self.of[self.of]
+                if (further == self.of).all():
+                    break
+                self.of = further
+            other = self.of[i] != self.of[j]
+            i, j = i[other], j[other]
+
+
+def class_links(prints: np.ndarray, home: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
+    """Rows, and the first row of the class of each, that join all pairs within the distance of a row at home and one that came; where none came, of two at home."""
+    here, came = np.flatnonzero(home), np.flatnonzero(~home)
+    x = prints[here]
+    y, there = (prints[came], came) if len(came) else (x, here)
+    quota = quotas(distance) if len(x) * len(y) > SMALL * SMALL else None
+    classes = Classes(len(prints))
+    for i, j in looked_up_pairs(x, y, distance, quota) if quota else all_pairs(x, y, distance):
+        classes.add(here[i], there[j])
+    classes.join()
+    moved = np.flatnonzero(classes.of != np.arange(len(prints)))
+    return np.stack([classes.of[moved], moved], 1)
 
 
 def _compare(distance: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by anchor: edges of every anchor."""
+        """Batches sorted by anchor (a pair of chunks): links of every anchor."""
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
             home, node, prints = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-            order = np.argsort(node, kind="stable")  # rows come in any order; a task that runs again has to find the same tree
+            held.clear()
+            order = np.argsort(node, kind="stable")  # rows come in any order; a task that runs again has to find the same links
             home, node, prints = home[order], node[order], prints[order]
-            edges = np.array(spanning_edges(prints, home, distance), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], ["a", "b"])
+            links = class_links(prints, home, distance)
+            return pa.RecordBatch.from_arrays([pa.array(node[links[:, 0]]), pa.array(node[links[:, 1]])], ["a", "b"])
 
         for batch in batches:
             anchor, home, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -156,7 +252,6 @@ def _compare(distance: int):
             for a, b in zip(cuts, cuts[1:]):
                 if held and held[0][0][0] != anchor[a]:
                     yield flush()
-                    held.clear()
                 held.append((anchor[a:b], home[a:b], node[a:b], prints[a:b]))
         if held:
             yield flush()
@@ -196,16 +291,13 @@ def _print_table(docs: DataFrame) -> DataFrame:
 def _members(docs: DataFrame, distance: int) -> DataFrame:
     """doc_id, text_hash, group, rank (0 stays) of all documents in groups of two or more."""
     prints = _print_table(docs).withColumn("node", F.xxhash64(*NAMES))
-    distinct = prints.select("node", *NAMES).distinct()
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r, anchor, home = visits(b.column("f0").to_numpy().view(np.uint64))
-            took = b.take(pa.array(r))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(home), *took.columns], ["anchor", "home", "node", *NAMES])
-
-    replicas = distinct.mapInArrow(replicate, f"anchor int, home boolean, node bigint, {_FP}")
-    edges = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(distance), "a bigint, b bigint")
+    distinct = written(prints.select("node", *NAMES).distinct(), "distinct-fingerprints")
+    n = distinct.count()
+    chunks = max(1, min(CHUNKS, -(-n // SMALL)), -(-n // CHUNK))
+    own = F.pmod("node", F.lit(chunks))
+    with_all = distinct.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("hi", F.greatest("own", "other"))
+    placed = with_all.select((F.col("hi") * (F.col("hi") + 1) / 2 + F.least("own", "other")).cast("int").alias("anchor"), (F.col("own") == F.col("hi")).alias("home"), "node", *NAMES)
+    edges = placed.repartitionById(chunks * (chunks + 1) // 2, F.col("anchor")).mapInArrow(_compare(distance), "a bigint, b bigint")
     groups = components(edges)
     labelled = prints.join(groups, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
     many = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")

@@ -261,6 +261,50 @@ def test_the_tree_of_an_anchor_does_not_depend_on_the_order_of_its_rows():
     assert len(found) == 1 and found.pop()
 
 
+def prints_apart(n, distance):
+    """n fingerprints and, for each, another that differs in ``distance`` bits, 2 or more of them in each 16 of the first 64."""
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, (2 * n, 256), dtype=np.uint8)
+    for i in range(n):
+        first = [16 * k + b for k in range(4) for b in rng.choice(16, 2, replace=False)]
+        rest = rng.choice(np.setdiff1d(np.arange(256), first), distance - len(first), replace=False)
+        bits[n + i] = bits[i]
+        bits[n + i, [*first, *rest]] ^= 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def test_near_copies_have_every_link_within_the_distance(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_print_table", lambda docs: docs)
+    for distance, want in ((simhash.DISTANCE, 60), (simhash.DISTANCE + 1, 0)):
+        rows = [(i, i, *map(int, p)) for i, p in enumerate(prints_apart(60, distance).view(np.int64))]
+        got = {r.doc_id: r.keeper_id for r in simhash.near_copies(spark.createDataFrame(rows, simhash.PRINTS)).collect()}
+        assert got == {i: i % 60 for i in range(2 * want)}
+
+
+def test_near_copies_over_several_chunks_are_those_of_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_print_table", lambda docs: docs)
+    monkeypatch.setattr(simhash, "SMALL", 16)  # 6 chunks
+    rows = [(i, i, *map(int, p)) for i, p in enumerate(prints_apart(60, simhash.DISTANCE).view(np.int64))]
+    got = {r.doc_id: r.keeper_id for r in simhash.near_copies(spark.createDataFrame(rows, simhash.PRINTS)).collect()}
+    assert got == {i: i % 60 for i in range(120)}
+
+
+@pytest.mark.parametrize("distance", [0, 5, 11, simhash.DISTANCE])
+def test_looked_up_pairs_are_all_pairs(distance):
+    rng = np.random.default_rng(distance)
+    bits = np.repeat(rng.integers(0, 2, (30, 256), dtype=np.uint8), 10, 0)
+    for i in range(300):
+        bits[i, rng.choice(256, rng.integers(0, distance + 2), replace=False)] ^= 1
+    prints = np.packbits(bits, axis=1).view(np.uint64)
+    quota = simhash.quotas(distance)
+    assert sum(quota) == distance + 1
+    pairs = lambda found: {(i, j) for a, b in found for i, j in zip(a.tolist(), b.tolist())}
+    x, y = prints[::2], prints[1::2]
+    assert pairs(simhash.looked_up_pairs(x, y, distance, quota)) == pairs(simhash.all_pairs(x, y, distance))
+    own = {(min(p), max(p)) for p in pairs(simhash.looked_up_pairs(x, x, distance, quota)) if p[0] != p[1]}
+    assert own == {p for p in pairs(simhash.all_pairs(x, x, distance)) if p[0] < p[1]}
+
+
 def test_covering_code_meets_all_blocks_one_bit_apart():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 16, 500)
