@@ -288,16 +288,21 @@ def _print_table(docs: DataFrame) -> DataFrame:
     return written(d.mapInArrow(of, PRINTS), "fingerprints")
 
 
+def chunk_pairs(distinct: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The n fingerprints once per chunk, with the pair of chunks they are for (anchor) and whether theirs is the later (home), and the number of pairs."""
+    chunks = max(1, min(CHUNKS, -(-n // SMALL)), -(-n // CHUNK))
+    other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    both = distinct.withColumn("own", F.pmod("node", F.lit(chunks))).withColumn("other", other).withColumn("later", F.greatest("own", "other"))
+    anchor = (F.col("later") * (F.col("later") + 1) / 2 + F.least("own", "other")).cast("int")
+    return both.select(anchor.alias("anchor"), (F.col("own") == F.col("later")).alias("home"), "node", *NAMES), chunks * (chunks + 1) // 2
+
+
 def _members(docs: DataFrame, distance: int) -> DataFrame:
     """doc_id, text_hash, group, rank (0 stays) of all documents in groups of two or more."""
     prints = _print_table(docs).withColumn("node", F.xxhash64(*NAMES))
     distinct = written(prints.select("node", *NAMES).distinct(), "distinct-fingerprints")
-    n = distinct.count()
-    chunks = max(1, min(CHUNKS, -(-n // SMALL)), -(-n // CHUNK))
-    own = F.pmod("node", F.lit(chunks))
-    with_all = distinct.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("hi", F.greatest("own", "other"))
-    placed = with_all.select((F.col("hi") * (F.col("hi") + 1) / 2 + F.least("own", "other")).cast("int").alias("anchor"), (F.col("own") == F.col("hi")).alias("home"), "node", *NAMES)
-    edges = placed.repartitionById(chunks * (chunks + 1) // 2, F.col("anchor")).mapInArrow(_compare(distance), "a bigint, b bigint")
+    placed, tasks = chunk_pairs(distinct, distinct.count())
+    edges = placed.repartitionById(tasks, F.col("anchor")).mapInArrow(_compare(distance), "a bigint, b bigint")
     groups = components(edges)
     labelled = prints.join(groups, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
     many = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")

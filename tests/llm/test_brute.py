@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from data import prose
+from data import prints_apart, prose
 from docgraph.llm import decontamination, line_dedup, lm_scoring, mixing, quality, records, sharding, simhash, warc
 
 
@@ -261,18 +261,6 @@ def test_the_tree_of_an_anchor_does_not_depend_on_the_order_of_its_rows():
     assert len(found) == 1 and found.pop()
 
 
-def prints_apart(n, distance):
-    """n fingerprints and, for each, another that differs in ``distance`` bits, 2 or more of them in each 16 of the first 64."""
-    rng = np.random.default_rng(4)
-    bits = rng.integers(0, 2, (2 * n, 256), dtype=np.uint8)
-    for i in range(n):
-        first = [16 * k + b for k in range(4) for b in rng.choice(16, 2, replace=False)]
-        rest = rng.choice(np.setdiff1d(np.arange(256), first), distance - len(first), replace=False)
-        bits[n + i] = bits[i]
-        bits[n + i, [*first, *rest]] ^= 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
-
 def test_near_copies_have_every_link_within_the_distance(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_print_table", lambda docs: docs)
     for distance, want in ((simhash.DISTANCE, 60), (simhash.DISTANCE + 1, 0)):
@@ -289,6 +277,21 @@ def test_near_copies_over_several_chunks_are_those_of_one(spark, monkeypatch):
     assert got == {i: i % 60 for i in range(120)}
 
 
+def test_tasks_are_even_and_every_pair_meets_in_one(spark, monkeypatch):
+    """Where most fingerprints have the same first 64 bits, too: these had met in single tasks."""
+    monkeypatch.setattr(simhash, "SMALL", 16)
+    prints = spark.range(3000).selectExpr("xxhash64(id) as node", "7L as f0", "xxhash64(id, 1) as f1", "id as f2", "id as f3")
+    placed, tasks = simhash.chunk_pairs(prints, 3000)
+    met, rows = Counter(), {}
+    for r in placed.collect():
+        rows.setdefault(r.anchor, []).append((r.home, r.f2))
+    assert set(rows) == set(range(tasks)) and tasks == 21 and max(map(len, rows.values())) < 1.2 * 2 * 3000 / 6
+    for some in rows.values():
+        here, came = ([i for home, i in some if home is h and i < 300] for h in (True, False))
+        met.update((min(i, j), max(i, j)) for i in here for j in came or here if came or i < j)
+    assert len(met) == 300 * 299 // 2 and set(met.values()) == {1}
+
+
 @pytest.mark.parametrize("distance", [0, 5, 11, simhash.DISTANCE])
 def test_looked_up_pairs_are_all_pairs(distance):
     rng = np.random.default_rng(distance)
