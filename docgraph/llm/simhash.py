@@ -38,7 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.llm.common import Columns, batches_of, mix64, span_hashes, table, text_bytes, word_spans, written
@@ -316,16 +316,24 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return m.select("doc_id", F.first("doc_id").over(Window.partitionBy("group").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("keeper_id"))
 
 
+def _bit(h: str) -> dict[str, Column]:
+    """Place of a hash in a set of 2^25 bits, of 2^19 words."""
+    return {"word": F.shiftright(F.col(h).bitwiseAND(F.lit((1 << 25) - 1)), 6), "bit": F.expr(f"shiftleft(1L, cast({h} & 63 as int))")}
+
+
 def drop_near_copies(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents, one of each group of near copies, as they are."""
     m = written(_members(docs, distance), "copies")
     keys = m.groupBy("doc_id", "text_hash").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
-    out = keys.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (F.col("rank") > 0).alias("out"), ((F.col("rank") == 0) & (F.col("n") > 1)).alias("again")).filter("out or again")
+    out = written(keys.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), (F.col("rank") > 0).alias("out"), ((F.col("rank") == 0) & (F.col("n") > 1)).alias("again")).filter("out or again"), "dropped")
     cols = Columns(docs, ["doc_id", "text"])
-    keyed = cols.df.withColumns({"id": F.col("_0").try_cast("bigint"), "th": F.xxhash64("_1")})
-    same = keyed["id"].eqNullSafe(out["d"]) & (keyed["th"] == out["h"])
-    kept = keyed.join(out, same, "left_anti")
-    alike = keyed.join(out.filter("again"), same, "left_semi").groupBy("id", "th").agg(F.first(F.struct(*cols.df.columns)).alias("row"))  # any one of repeated rows, combined in each task first
+    keyed = cols.df.withColumns({"id": F.col("_0").try_cast("bigint"), "th": F.xxhash64("_1")}).withColumns(_bit("th"))
+    bits = out.select(*[c.alias(n) for n, c in _bit("h").items()]).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # what isn't among them stays where it is
+    marked = keyed.join(F.broadcast(bits), "word", "left").withColumn("perhaps", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)))
+    perhaps = marked.filter("perhaps")
+    same = perhaps["id"].eqNullSafe(out["d"]) & (perhaps["th"] == out["h"])
+    kept = marked.filter("not perhaps").select(*cols.df.columns).unionByName(perhaps.join(out, same, "left_anti").select(*cols.df.columns))
+    alike = perhaps.join(out.filter("again"), same, "left_semi").groupBy("id", "th").agg(F.first(F.struct(*cols.df.columns)).alias("row"))  # any one of repeated rows, combined in each task first
     return cols.restore(kept.select(*cols.df.columns).unionByName(alike.select("row.*")))
 
 

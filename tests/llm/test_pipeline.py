@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from data import awkward, awkward_rows, key, prose
+from data import awkward, awkward_rows, key, prints_apart, prose
 from docgraph.llm import decontamination, mixing, quality, simhash
 
 corpus_pipeline = importlib.import_module("corpus_pipeline")
@@ -80,3 +80,11 @@ def test_stages_on_awkward_tables(spark, tmp_path):
 
 def test_run_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], COLUMNS, [], [])).collect() == []
+
+
+def test_near_dedup_drops_every_copy_within_the_distance(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"text {i}", "en", "src0", 6) for i in range(120)], COLUMNS)
+    rows = [(i, *map(int, p)) for i, p in enumerate(prints_apart(60, simhash.DISTANCE).view("int64"))]
+    prints = spark.createDataFrame(rows, "doc_id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    monkeypatch.setattr(simhash, "_print_table", lambda docs: docs.selectExpr("doc_id", "xxhash64(text) as text_hash").join(prints, "doc_id"))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, texts, "").collect()} == set(range(60))
