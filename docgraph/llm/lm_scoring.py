@@ -50,12 +50,11 @@ from docgraph.llm.common import Columns, batches_of, table, written
 from docgraph.llm.records import default_vocabulary, tokens_of
 
 WIDTH, HIDDEN, STEP, TOP, CLASSES = 16, 32, 16, 64, 256
-ROUNDS, SHARD, BATCH, AT_ONCE, RATE, ROW_RATE = 2, 1 << 20, 128, 64, 0.004, 0.05
-_SPAN = np.arange(WIDTH)
+ROUNDS, SHARD, BATCH, AT_ONCE, RATE, ROW_RATE = 2, 1 << 20, 128, 256, 0.004, 0.05
 FIXED = float(1 << 20)
 SCORES = "doc_id bigint, tokens bigint, log_prob double, mean_log_prob double"
 _AHEAD = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None, :]
-_MASK = np.where(_AHEAD >= 0, 0, -1e9).astype(np.float32)
+_SEEN = (_AHEAD >= 0).astype(np.float32)
 _OFFSET = np.maximum(_AHEAD, 0)
 
 
@@ -74,7 +73,9 @@ def classes(counts: np.ndarray) -> np.ndarray:
 class Tree:
     """A Huffman tree of ids, nodes numbered from the heaviest; an id's path is its nodes from the root and the turn at each (1 for right).
 
-    Paths stand on end: those of nodes below TOP and, apart, those of the others.
+    Paths stand on end: those of nodes below TOP and, apart, those of the others.  As the former form a tree of at most TOP + 1 leaves, there is also
+    the ``leaf`` of every id, and of each leaf the nodes (``top``) and turns (``sign``: 1 for right, -1 for left), as wide as the longest: beyond its
+    end a path has nodes that are not its own, with sign 0.  ``spare`` is what these would add to a loss.
     """
 
     def __init__(self, counts: np.ndarray):
@@ -113,6 +114,16 @@ class Tree:
         for some in (node < TOP, node >= TOP):
             cut = np.concatenate([[0], np.cumsum(np.bincount(who[some], minlength=n))])
             self.parts.append((cut, node[some], bit[some]))
+        cut, node, bit = self.parts[0]
+        _, example, self.leaf = np.unique(node[cut[1:] - 1] * 2 + bit[cut[1:] - 1].astype(np.int64), return_index=True, return_inverse=True)
+        many = np.diff(cut)[example]
+        self.top, self.sign = np.zeros((len(many), many.max()), np.int64), np.zeros((len(many), many.max()), np.float32)
+        for i, (at, n) in enumerate(zip(cut[example], many)):
+            own = node[at:at + n]
+            self.top[i] = np.setdiff1d(np.arange(TOP), own)[0] if n < many.max() else 0
+            self.top[i, :n], self.sign[i, :n] = own, bit[at:at + n] * 2 - 1
+        self.less = (255 - np.diff(self.parts[1][0])).astype(np.uint8)
+        self.spare = ((many.max() - many) * np.log(2)).astype(np.float32)
 
     def entries(self, ids: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the ids' paths: the place of the id among ``ids``, the node and the turn."""
@@ -122,6 +133,18 @@ class Tree:
         flat = np.repeat(cut[ids] - (np.cumsum(many) - many), many) + np.arange(len(place))
         return place, node[flat], bit[flat]
 
+    def lower(self, ids: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the ids' paths beyond TOP, depth by depth: which of ``ids`` have any, longest first; of how many of these there is a node at each depth; of
+        all the nodes the place among these ids, node and sign."""
+        cut, node, bit = self.parts[1]
+        less = self.less.take(ids)
+        deep = len(ids) - np.cumsum(np.bincount(255 - less))[:-1] if len(ids) else np.zeros(0, np.int64)
+        order = np.argsort(less, kind="stable")[:deep[0] if len(deep) else 0]
+        place = np.arange(deep.sum()) - np.repeat(np.cumsum(deep) - deep, deep)
+        at = cut.take(ids.take(order)).take(place)
+        at += np.repeat(np.arange(len(deep)), deep)
+        return order, deep.tolist(), place, node.take(at), bit.take(at) * 2 - 1
+
 
 def windows(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs (n x 2*STEP; id ``size`` begins a text, ``size + 1`` is nothing) and targets (n x STEP, -1 for none) of all windows, and the row of each.
@@ -152,74 +175,108 @@ def first_weights(size: int, nodes: int, seed: int = 5) -> dict[str, np.ndarray]
     return w | {"E": (rng.standard_normal((size + 2, WIDTH)) * 0.5).astype(np.float32), "N": np.zeros((max(nodes, 1), WIDTH), np.float32)}
 
 
-def heads(w: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None) -> tuple:
-    """All steps' values for windows x up to the vector that the odds are made of."""
-    if tables:
-        late = x[:, STEP:]
-        q, k, v, e = tables[0].take(late, 0), tables[1].take(x, 0), tables[2].take(x, 0), tables[3].take(late, 0).reshape(-1, WIDTH)
-        r0 = e
-    else:
-        every = w["E"].take(x, 0)
-        e = every[:, STEP:].reshape(-1, WIDTH)
-        q, k, v = (e @ w["Q"]).reshape(len(x), STEP, WIDTH), every @ w["K"], every @ w["V"]
-        r0 = e @ w["R"]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= WIDTH**-0.5
-    s += w["rel"][_OFFSET] + _MASK
+def joint(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Q with K, and R beside it, as one matrix of a token's embedding; V with O."""
+    return np.concatenate([w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5), w["R"]], 1), w["V"] @ w["O"]
+
+
+def heads(w: dict[str, np.ndarray], x: np.ndarray, table: np.ndarray | None = None) -> tuple:
+    """All steps' values for windows x up to the vector that the odds are made of.
+
+    Queries and values are multiplied through, so that keys are the embeddings themselves; attention s is not yet divided by its sums.  ``table``:
+    the first of the joint matrices times each embedding.
+    """
+    first, second = joint(w)
+    keys = w["E"].take(x, 0)
+    e = keys[:, STEP:].reshape(-1, WIDTH) if table is None else None
+    qr = e @ first if table is None else table.take(x[:, STEP:].ravel(), 0)
+    q = qr[:, :WIDTH].reshape(len(x), STEP, WIDTH)
+    s = np.matmul(q, keys.transpose(0, 2, 1))
+    s += w["rel"][_OFFSET]
     np.exp(np.minimum(s, 30, out=s), out=s)
-    s *= 1 / s.sum(2, keepdims=True)
-    c = np.matmul(s, v).reshape(-1, WIDTH)
-    h = c @ w["O"] + r0
-    r = np.maximum(h @ w["A"] + w["a"], 0)
-    return q, k, v, s, c, e, h, r, h + r @ w["B"]
+    s *= _SEEN
+    share = 1 / (s.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, s.dtype))[:, None]
+    c = np.matmul(s, keys).reshape(-1, WIDTH)
+    c *= share
+    h = c @ second
+    h += qr[:, WIDTH:]
+    r = h @ w["A"]
+    r += w["a"]
+    np.maximum(r, 0, out=r)
+    u = r @ w["B"]
+    u += h
+    return first, second, keys, e, q, s, share, c, h, r, u
 
 
 def odds(w: dict[str, np.ndarray], m: dict, u: np.ndarray, before: np.ndarray, t: np.ndarray) -> tuple:
-    """Of targets t after ids ``before``, given vectors u: for both parts of their paths place, node, turn and log odds of right."""
+    """Of targets t after ids ``before``, given vectors u: log odds of the turns taken.
+
+    Of the upper part of paths, a row for each target, with their places in a matrix of targets by nodes and signs; of the others, as Tree.lower
+    has them, with which targets they are of, how many at each depth, node, sign, vector u and the node's.
+    """
     tree: Tree = m["tree"]
-    p0, n0, b0 = tree.entries(t, 0)
-    z = u @ w["T"].T
-    l0 = z.ravel().take(p0 * TOP + n0) + m["base"].ravel().take(m["class"][before].astype(np.int64).take(p0) * TOP + n0)
-    p1, n1, b1 = tree.entries(t, 1)
-    l1 = np.einsum("ij,ij->i", w["N"].take(n1, 0), u.take(p1, 0)) + tree.odds.take(n1)
-    return (p0, n0, b0, l0), (p1, n1, b1, l1)
+    leaf = tree.leaf.take(t)
+    node, sign = tree.top.take(leaf, 0), tree.sign.take(leaf, 0)
+    at = node + np.arange(0, len(t) * TOP, TOP)[:, None]
+    l0 = (u @ w["T"].T).ravel().take(at)
+    node += (m["class"].take(before).astype(np.int64) * TOP)[:, None]
+    l0 += m["base"].ravel().take(node)
+    l0 *= sign
+    who, deep, p1, n1, s1 = tree.lower(t)
+    up, own = u.take(who, 0).take(p1, 0), w["N"].take(n1, 0)
+    l1 = np.einsum("ij,ij->i", own, up)
+    l1 += tree.odds.take(n1)
+    l1 *= s1
+    for l in (l0, l1):
+        np.minimum(np.maximum(l, -30, out=l), 30, out=l)
+    return (l0, at, sign, leaf), (l1, who, deep, n1, s1, up, own)
+
+
+def _by_depth(values: np.ndarray, deep: list[int]) -> np.ndarray:
+    """Values of the nodes of Tree.lower summed for each of its ids, in their own place."""
+    out = values[:deep[0]] if deep else values
+    at = len(out)
+    for n in deep[1:]:
+        out[:n] += values[at:at + n]
+        at += n
+    return out
 
 
-def _log_sigmoid(x: np.ndarray) -> np.ndarray:
-    return -np.log(1 + np.exp(-np.clip(x, -30, 30)))
+def _losses(l: np.ndarray) -> np.ndarray:
+    """Of turns with log odds l."""
+    out = np.exp(-l)
+    out += 1
+    return np.log(out, out=out)
 
 
 def log_probs(w: dict[str, np.ndarray], m: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log probability of each target (0 where there is none)."""
     out = np.zeros(y.size)
-    tables = m.get("tables") or (w["E"] @ w["Q"], w["E"] @ w["K"], w["E"] @ w["V"], w["E"] @ w["R"])
+    table = m.get("table")
+    if table is None:
+        table = w["E"] @ joint(w)[0]
     for a in range(0, len(x), AT_ONCE):
         part, t = x[a:a + AT_ONCE], y[a:a + AT_ONCE].ravel()
         live = np.flatnonzero(t >= 0)
-        u = heads(w, part, tables)[-1][live]
-        total = np.zeros(len(live))
-        for p, _, b, l in odds(w, m, u, part[:, STEP:].ravel()[live], t[live]):
-            total += np.bincount(p, _log_sigmoid(np.where(b > 0, l, -l)), minlength=len(live))
-        out[a * STEP + live] = total
+        u, t = heads(w, part, table)[-1].take(live, 0), t.take(live)
+        (l0, _, _, leaf), (l1, who, deep, *_) = odds(w, m, u, part[:, STEP:].ravel().take(live), t)
+        loss = _losses(l0) @ np.ones(l0.shape[1], l0.dtype) - m["tree"].spare.take(leaf)
+        loss[who] += _by_depth(_losses(l1), deep)
+        out[a * STEP + live] = -loss
     return out.reshape(y.shape)
 
 
-def _by_place(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of values summed by place, n of them."""
-    return np.bincount((place[:, None] * WIDTH + _SPAN).ravel(), values.ravel(), minlength=n * WIDTH).reshape(n, WIDTH).astype(values.dtype)
-
-
-def _rows_sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (below 65 536, so that sorting is by digits), the sum of their rows of values and how many they had."""
-    keys = keys.astype(np.uint16)
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
-    return k[first].astype(np.int64), _by_place(place, values, len(first)), np.diff(first, append=len(k))
+def _rows_sum(keys: np.ndarray, values: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of their rows of values and how many they had (of ``many``, how many each row stands for)."""
+    there = np.zeros(int(keys.max(initial=0)) + 1, bool)
+    there[keys] = True
+    found = np.flatnonzero(there)
+    rank = np.empty(len(there), np.int64)
+    rank[found] = np.arange(len(found))
+    place = rank.take(keys)
+    columns = place + np.arange(0, WIDTH * len(found), max(1, len(found)))[:WIDTH, None] if len(found) else np.zeros((WIDTH, 0), np.int64)
+    sums = np.bincount(columns.ravel(), np.array(values.T, np.float64, order="C").ravel(), minlength=WIDTH * len(found)).reshape(WIDTH, len(found))
+    return found, np.array(sums.T, values.dtype, order="C"), np.bincount(place, many, minlength=len(found)).astype(np.int64)
 
 
 def keep_memory() -> None:
@@ -232,62 +289,87 @@ def keep_memory() -> None:
         pass
 
 
-def gradients(w: dict[str, np.ndarray], m: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], dict[str, tuple]]:
-    """Mean loss over the targets, its gradients by the dense weights, and (rows, gradients, how often) by the tables E and N."""
-    q, k, v, s, c, e, h, r, u_all = heads(w, x)
-    flat = y.ravel()
-    live = np.flatnonzero(flat >= 0)
-    t, before, n = flat[live], x[:, STEP:].ravel()[live], max(1, len(live))
-    u = u_all[live]
-    (p0, n0, b0, l0), (p1, n1, b1, l1) = odds(w, m, u, before, t)
-    loss = -float(_log_sigmoid(np.where(b0 > 0, l0, -l0)).sum() + _log_sigmoid(np.where(b1 > 0, l1, -l1)).sum()) / n
-    g0, g1 = ((1 / (1 + np.exp(-np.clip(l, -30, 30))) - b) / n for l, b in ((l0, b0), (l1, b1)))
+def gradients(w: dict[str, np.ndarray], m: dict, x: np.ndarray, y: np.ndarray, measured: bool = True) -> tuple[float, dict[str, np.ndarray], dict[str, tuple]]:
+    """Mean loss over the targets (0 unless ``measured``), its gradients by the dense weights, and (rows, gradients, how often) by the tables E and N."""
+    first, second, keys, e, q, s, share, c, h, r, u_all = heads(w, x)
+    targets = y.ravel()
+    live = np.flatnonzero(targets >= 0)
+    t, before, n = targets.take(live), x[:, STEP:].ravel().take(live), max(1, len(live))
+    u = u_all.take(live, 0)
+    (l0, at, sign, leaf), (l1, who, deep, n1, s1, up, own) = odds(w, m, u, before, t)
+    loss = float(_losses(l0).sum() - m["tree"].spare.take(leaf).sum() + _losses(l1).sum()) / n if measured else 0.0
+    for l, turned in ((l0, sign), (l1, s1)):
+        np.exp(l, out=l)
+        l += 1
+        l *= -n
+        np.divide(turned, l, out=l)
     dz = np.zeros((len(live), TOP), u.dtype)
-    dz.ravel()[p0 * TOP + n0] = g0
+    dz.ravel()[at] = l0
     g = {"T": dz.T @ u}
-    own = dz @ w["T"]
-    own += _by_place(p1, g1[:, None] * w["N"].take(n1, 0), len(live))
-    rows_n = _rows_sum(n1, g1[:, None] * u.take(p1, 0))
-    du = np.zeros_like(u_all)
-    du[live] = own
+    some = dz @ w["T"]
+    l1 = l1[:, None]
+    some[who] += _by_depth(np.multiply(own, l1, out=own), deep)
+    up *= l1
+    rows_n = _rows_sum(n1, up)
+    du = some
+    if len(live) < len(u_all):
+        du = np.zeros_like(u_all)
+        du[live] = some
     g["B"] = r.T @ du
-    dr = (du @ w["B"].T) * (r > 0)
-    g["A"], g["a"] = h.T @ dr, dr.sum(0)
-    dh = du + dr @ w["A"].T
-    g["O"], g["R"] = c.T @ dh, e.T @ dh
-    dc = (dh @ w["O"].T).reshape(len(x), STEP, WIDTH)
-    ds = np.matmul(dc, v.transpose(0, 2, 1))
-    dv = np.matmul(s.transpose(0, 2, 1), dc)
-    ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
+    dr = du @ w["B"].T
+    dr *= r > 0
+    g["A"], g["a"] = h.T @ dr, np.ones(len(dr), dr.dtype) @ dr
+    dqh = np.empty((len(dr), 2 * WIDTH), dr.dtype)
+    dh = np.add(dr @ w["A"].T, du, out=dqh[:, WIDTH:])
+    both = c.T @ dh
+    g["V"], g["O"] = both @ w["O"].T, w["V"].T @ both
+    dc = dh @ second.T
+    dc *= share
+    less = np.einsum("ij,ij->i", dc, c).reshape(len(x), STEP, 1)
+    dc = dc.reshape(len(x), STEP, WIDTH)
+    ds = np.matmul(dc, keys.transpose(0, 2, 1))
+    ds -= less
     ds *= s
-    g["rel"] = np.bincount(_OFFSET.ravel(), (ds.sum(0) * (_AHEAD >= 0)).ravel(), minlength=2 * STEP).astype(u.dtype)
-    ds *= WIDTH**-0.5
-    dq, dk = np.matmul(ds, k).reshape(-1, WIDTH), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH)
-    every, dv = w["E"].take(x, 0).reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
-    g["Q"], g["K"], g["V"] = e.T @ dq, every.T @ dk, every.T @ dv
-    de = (dk @ w["K"].T + dv @ w["V"].T).reshape(len(x), 2 * STEP, WIDTH)
-    de[:, STEP:] += (dq @ w["Q"].T + dh @ w["R"].T).reshape(len(x), STEP, WIDTH)
-    return loss, g, {"E": _rows_sum(x.ravel(), de.reshape(-1, WIDTH)), "N": rows_n}
+    g["rel"] = np.bincount(_OFFSET.ravel(), np.ones(len(x), ds.dtype) @ ds.reshape(len(x), -1), minlength=2 * STEP).astype(u.dtype)
+    np.matmul(ds, keys, out=dqh.reshape(len(x), STEP, -1)[:, :, :WIDTH])
+    both = e.T @ dqh
+    g["R"], both = both[:, WIDTH:], both[:, :WIDTH] * np.float32(WIDTH**-0.5)
+    g["Q"], g["K"] = both @ w["K"], both.T @ w["Q"]
+    de = np.matmul(ds.transpose(0, 2, 1), q)
+    de += np.matmul(s.transpose(0, 2, 1), dc)
+    de[:, STEP:] += (dqh @ first.T).reshape(len(x), STEP, WIDTH)
+    # what one window scores is mostly the next one's context: rows of the same ids are added before they are sorted
+    again = np.zeros(len(x) + 1, bool)
+    again[1:-1] = (x[1:, :STEP] == x[:-1, STEP:]).all(1)
+    de[:-1, STEP:] += de[1:, :STEP] * again[1:-1, None, None].astype(de.dtype)
+    alone = np.flatnonzero(~again[:-1])
+    ids = np.concatenate([x[:, STEP:].ravel(), x[alone, :STEP].ravel()])
+    many = np.ones(len(ids), np.int64)
+    many[:len(x) * STEP] += np.repeat(again[1:], STEP)
+    return loss, g, {"E": _rows_sum(ids, np.concatenate([de[:, STEP:].reshape(-1, WIDTH), de[alone, :STEP].reshape(-1, WIDTH)]), many), "N": rows_n}
 
 
 class Optimiser:
     """Adam for the dense weights; for the rows of the tables, steps by the root of their summed squares."""
 
     def __init__(self, w: dict[str, np.ndarray], rate: float = 1.0):
-        self.w, self.rate, self.t, self.seen = {k: v.copy() for k, v in w.items()}, rate, 0, 0
-        self.m, self.s = ({k: np.zeros(s, np.float32) for k, s in SHAPES.items()} for _ in range(2))
+        self.dense, self.rate, self.t, self.seen = np.concatenate([w[k].ravel() for k in SHAPES]), rate, 0, 0
+        cuts = np.cumsum([w[k].size for k in SHAPES])[:-1]
+        self.w = {k: v.reshape(w[k].shape) for k, v in zip(SHAPES, np.split(self.dense, cuts))} | {k: w[k].copy() for k in "EN"}  # parts of the one vector
+        self.m, self.s = (np.zeros(len(self.dense), np.float32) for _ in range(2))
         self.squares, self.touched = ({k: np.zeros(len(w[k]), kind) for k in "EN"} for kind in (np.float32, np.int64))
 
     def step(self, g: dict[str, np.ndarray], rows: dict[str, tuple], windows: int) -> None:
         self.t, self.seen = self.t + 1, self.seen + windows
         rate = self.rate * RATE * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t)
-        for k, d in g.items():
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.s[k] += 0.001 * (d * d - self.s[k])
-            self.w[k] -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)
+        d = np.concatenate([g[k].ravel() for k in SHAPES])
+        self.m += 0.1 * (d - self.m)
+        self.s += 0.001 * (d * d - self.s)
+        self.dense -= (rate * self.m / (np.sqrt(self.s) + 1e-8)).astype(np.float32)
         for k, (at, d, many) in rows.items():
-            self.squares[k][at] += (d * d).mean(1)
-            self.w[k][at] -= (self.rate * ROW_RATE * d / (np.sqrt(self.squares[k][at])[:, None] + 1e-8)).astype(np.float32)
+            squares = self.squares[k].take(at) + np.einsum("ij,ij->i", d, d) / WIDTH
+            self.squares[k][at] = squares
+            self.w[k][at] = self.w[k].take(at, 0) - d * (self.rate * ROW_RATE / (np.sqrt(squares) + 1e-8)).astype(np.float32)[:, None]
             self.touched[k][at] += many
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,7 +457,7 @@ def trained_rows(m: dict, batches: Iterator[pa.RecordBatch], rate: float, size:
         while held and sum(len(h[0]) for h in held) >= least:
             x, y = (np.concatenate([h[i] for h in held]) for i in range(2))
             for a in range(0, len(x) - BATCH + 1 if least > 1 else len(x), BATCH):
-                own.step(*gradients(own.w, m, x[a:a + BATCH], y[a:a + BATCH])[1:], len(x[a:a + BATCH]))
+                own.step(*gradients(own.w, m, x[a:a + BATCH], y[a:a + BATCH], False)[1:], len(x[a:a + BATCH]))
             held[:] = [(x[len(x) - len(x) % BATCH:], y[len(x) - len(x) % BATCH:])] if least > 1 and len(x) % BATCH else []
 
     for b in batches:
@@ -414,16 +496,17 @@ def learn(tokens: DataFrame, vocabulary: str, rounds: int = ROUNDS, shard: int =
 
     def count_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, tree = shared.value["class"], shared.value["tree"]
-        turns = np.zeros((CLASSES + 1) * TOP * 2, np.int64)
+        leaves = len(tree.top)
+        pairs = np.zeros((CLASSES + 1) * leaves, np.int64)
         for b in (part for whole in batches for part in batches_of(whole, 0, 1 << 20)):
             ids, starts = _ids(b.column(0))
             before = np.concatenate([[CLASSES], of[ids[:-1]]]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
             before[starts[:-1][np.diff(starts) > 0]] = CLASSES
-            # pairs first: each pair of class and id walks its path once
-            pair, n = np.unique(before * size + ids.astype(np.int64), return_counts=True)
-            place, node, bit = tree.entries(pair % size, 0)
-            turns += np.bincount((pair[place] // size * TOP + node) * 2 + bit.astype(np.int64), n[place], minlength=len(turns)).astype(np.int64)
-        yield _rows_of(turns)
+            pairs += np.bincount(before * leaves + tree.leaf[ids], minlength=len(pairs))
+        turns = np.zeros((CLASSES + 1, TOP * 2), np.int64)
+        leaf, depth = np.nonzero(tree.sign)
+        np.add.at(turns, (slice(None), tree.top[leaf, depth] * 2 + (tree.sign[leaf, depth] > 0)), pairs.reshape(CLASSES + 1, leaves)[:, leaf])
+        yield _rows_of(turns.ravel())
 
     turns = _sums(tokens.select("ids").mapInArrow(count_turns, "i int, n bigint"), (CLASSES + 1) * TOP * 2)
     m |= {"base": base_odds(turns, m["tree"]), "weights": first_weights(size, m["tree"].nodes)}
@@ -443,8 +526,7 @@ def learn(tokens: DataFrame, vocabulary: str, rounds: int = ROUNDS, shard: int =
         got = placed.mapInArrow(train, schema).groupBy("i").agg(F.sum("n").alias("n"), *(F.sum(v).alias(v) for v in values)).toArrow()  # as many rows as the tables have
         if got.num_rows:
             m = m | {"weights": averaged(m["weights"], got.column("i").to_numpy(), got.column("n").to_numpy(), np.stack([got.column(v).to_numpy() for v in values], 1))}
-    w = m["weights"]
-    return m | {"tables": (w["E"] @ w["Q"], w["E"] @ w["K"], w["E"] @ w["V"], w["E"] @ w["R"])}
+    return m | {"table": m["weights"]["E"] @ joint(m["weights"])[0]}
 
 
 def score_tokens(m: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:

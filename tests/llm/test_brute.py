@@ -451,6 +451,31 @@ def test_model_gradients_are_those_of_differences(few_top_nodes):
         assert abs((loss[0] - loss[1]) / 2e-4 - g[k][i]) < 0.02 * abs(g[k][i]) + 1e-5, k
 
 
+def test_rows_that_windows_share_are_summed_once(few_top_nodes, monkeypatch):
+    """A window's context is what the one before it scores: of a text of 4 windows and one of 1, the embeddings' gradients come as 5 + 2 blocks, not as 2 * 5."""
+    m, given, plain = small_model(), [], lm_scoring._rows_sum
+    starts = np.array([0, 64, 74])
+    x, y, _ = lm_scoring.windows(np.random.default_rng(7).integers(0, 40, 74), starts, 40)
+    monkeypatch.setattr(lm_scoring, "_rows_sum", lambda keys, values, *a: given.append(len(keys)) or plain(keys, values, *a))
+    at, _, many = lm_scoring.gradients(m["weights"], m, x, y)[2]["E"]
+    assert given[-1] == 7 * lm_scoring.STEP
+    assert (many == np.bincount(x.ravel(), minlength=42)[at]).all() and many.sum() == x.size  # yet each counts as often as it stands
+
+
+def test_turns_of_both_parts_of_paths_are_their_entries(few_top_nodes):
+    tree, ids = small_model()["tree"], np.array([7, 3, 7, 39, 0, 12])
+    for i, t in enumerate(ids):
+        _, node, bit = tree.entries(ids[i:i + 1], 0)
+        leaf, some = tree.leaf[t], tree.sign[tree.leaf[t]] != 0
+        assert (tree.top[leaf][some] == node).all() and (tree.sign[leaf][some] == 2 * bit - 1).all()
+        assert not set(tree.top[leaf][~some]) & set(node)  # what fills a row is no node of the path
+    who, deep, place, node, sign = tree.lower(ids)
+    got = sorted(zip(who[place].tolist(), node.tolist(), sign.tolist()))
+    assert got == sorted((int(p), int(n), 2 * float(b) - 1) for p, n, b in zip(*tree.entries(ids, 1))) and sum(deep) == len(node)
+    for none in (ids[:0], np.flatnonzero(np.diff(tree.parts[1][0]) == 0)[:1]):
+        assert sum(tree.lower(none)[1]) == 0
+
+
 def test_scores_by_windows_are_those_token_by_token(few_top_nodes):
     m = small_model()
     w, rng, step = m["weights"], np.random.default_rng(7), lm_scoring.STEP
