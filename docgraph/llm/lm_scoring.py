@@ -151,16 +151,22 @@ def windows(ids: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
 
     ``ids``: the rows' ids on end, row r from starts[r] to starts[r+1].
     """
-    ids = ids.astype(np.int32)
     many = np.diff(starts)
     count = -(-many // STEP)
     row = np.repeat(np.arange(len(many)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    place = nth[:, None] * STEP + np.arange(-STEP, STEP)[None, :]  # input i is the token before token i of the row
-    at = starts[row][:, None] + place - 1
-    last = max(0, len(ids) - 1)
-    x = np.where((place > 0) & (place <= many[row][:, None]), ids[np.clip(at, 0, last)], np.where(place == 0, size, size + 1)).astype(np.int32) if len(row) else np.zeros((0, 2 * STEP), np.int32)
-    y = np.where(place[:, STEP:] < many[row][:, None], ids[np.clip(at[:, STEP:] + 1, 0, last)], -1).astype(np.int32) if len(row) else np.zeros((0, STEP), np.int32)
+    windows_before, blocks = np.cumsum(count) - count, count + (count > 0)
+    blocks_before = np.cumsum(blocks) - blocks  # a text's inputs in blocks of STEP: the first has nothing, a window is a block and the next
+    at = np.arange(starts[0], starts[-1])
+    inputs = np.full((int(blocks.sum()) + 1) * STEP, size + 1, np.int32)
+    inputs[at + np.repeat((blocks_before + 1) * STEP + 1 - starts[:-1], many)] = ids[starts[0]:starts[-1]]
+    some = blocks_before[count > 0]
+    inputs[some * STEP], inputs[(some + 1) * STEP] = size + 1, size  # where the last token of the text before may have come to stand
+    block = np.arange(len(row)) + np.repeat(blocks_before - windows_before, count)
+    inputs = inputs.reshape(-1, STEP)
+    x = np.concatenate([inputs.take(block, 0), inputs.take(block + 1, 0)], 1)
+    y = np.full(len(row) * STEP, -1, np.int32)
+    y[at + np.repeat(windows_before * STEP - starts[:-1], many)] = ids[starts[0]:starts[-1]]
+    y = y.reshape(-1, STEP)
     return x, y, row
 
 
@@ -180,6 +186,14 @@ def joint(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w["Q"] @ w["K"].T * np.float32(WIDTH**-0.5), w["R"]], 1), w["V"] @ w["O"]
 
 
+def _within(values: np.ndarray, most: float, least: float | None = None) -> None:
+    """Values beyond the bounds set to them; as a rule there are none, and looking costs less."""
+    if values.max(initial=-np.inf) > most:
+        np.minimum(values, most, out=values)
+    if least is not None and values.min(initial=np.inf) < least:
+        np.maximum(values, least, out=values)
+
+
 def heads(w: dict[str, np.ndarray], x: np.ndarray, table: np.ndarray | None = None) -> tuple:
     """All steps' values for windows x up to the vector that the odds are made of.
 
@@ -193,7 +207,8 @@ def heads(w: dict[str, np.ndarray], x: np.ndarray, table: np.ndarray | None = No
     q = qr[:, :WIDTH].reshape(len(x), STEP, WIDTH)
     s = np.matmul(q, keys.transpose(0, 2, 1))
     s += w["rel"][_OFFSET]
-    np.exp(np.minimum(s, 30, out=s), out=s)
+    _within(s, 30)
+    np.exp(s, out=s)
     s *= _SEEN
     share = 1 / (s.reshape(-1, 2 * STEP) @ np.ones(2 * STEP, s.dtype))[:, None]
     c = np.matmul(s, keys).reshape(-1, WIDTH)
@@ -228,7 +243,7 @@ def odds(w: dict[str, np.ndarray], m: dict, u: np.ndarray, before: np.ndarray, t
     l1 += tree.odds.take(n1)
     l1 *= s1
     for l in (l0, l1):
-        np.minimum(np.maximum(l, -30, out=l), 30, out=l)
+        _within(l, 30, -30)
     return (l0, at, sign, leaf), (l1, who, deep, n1, s1, up, own)
 
 

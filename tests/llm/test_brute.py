@@ -429,6 +429,31 @@ def test_paths_are_a_prefix_code_and_probabilities_sum_to_one(few_top_nodes):
     assert abs(total - 1) < 1e-4
 
 
+def test_windows_are_those_made_token_by_token_in_little_memory():
+    import tracemalloc
+
+    rng, step, size = np.random.default_rng(3), lm_scoring.STEP, 40
+    for lengths in ([], [0, 0], [16], [0, 32, 0, 1, 15, 16, 17, 0, 64, 33, 0], rng.integers(0, 70, 30)):
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        ids = rng.integers(0, size, starts[-1]).astype("<u2")
+        x, y, row = lm_scoring.windows(ids, starts, size)
+        want = []
+        for r, n in enumerate(lengths):
+            t = ids[starts[r]:starts[r + 1]].tolist()
+            for at in range(0, n, step):
+                places = range(at - step, at + step)
+                want.append((r, [t[p - 1] if 0 < p <= n else size if p == 0 else size + 1 for p in places], [t[p] if p < n else -1 for p in places[step:]]))
+        assert row.tolist() == [w[0] for w in want] and x.tolist() == [w[1] for w in want] and y.tolist() == [w[2] for w in want]
+        assert x.shape[1:] == (2 * step,) and y.shape[1:] == (step,)
+    starts = np.arange(0, 160001, 1600)
+    ids = rng.integers(0, size, starts[-1]).astype("<u2")
+    tracemalloc.start()
+    lm_scoring.windows(ids, starts, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(ids)  # bytes a token, of which what is returned has 12
+
+
 def test_model_gradients_are_those_of_differences(few_top_nodes):
     m = small_model()
     w, rng = m["weights"], np.random.default_rng(7)
