@@ -35,9 +35,11 @@ def duplicate_rows(objects: DataFrame) -> DataFrame:
 def ambiguous_locals(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """References that no id resolves and that several objects of their own namespace have as local id."""
     keyed = refs.withColumn("_id", F.element_at(F.split("raw", ":"), -1))
-    ids = objects.select("__workspace", F.col("__id").alias("_id")).distinct()
     local = objects.filter("__local_id is not null").groupBy("__workspace", "__namespace", F.col("__local_id").alias("_id")).agg(F.count(F.lit(1)).alias("candidates")).filter("candidates > 1")
-    return keyed.join(ids, ["__workspace", "_id"], "left_anti").join(local, ["__workspace", "__namespace", "_id"]).select(*refs.columns, "candidates")
+    many = keyed.select("__workspace", "__namespace", "_id").distinct().join(local, ["__workspace", "__namespace", "_id"])  # keys, however many references each has
+    ids = objects.select("__workspace", F.col("__id").alias("_id")).join(many.select("__workspace", "_id").distinct(), ["__workspace", "_id"], "left_semi")
+    bad = many.join(ids, ["__workspace", "_id"], "left_anti")
+    return keyed.join(bad, ["__workspace", "__namespace", "_id"]).select(*refs.columns, "candidates")
 
 
 def candidates_of(refs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -81,14 +83,14 @@ def ambiguous_references(refs: DataFrame, objects: DataFrame) -> DataFrame:
 def ambiguous_fields(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """Dotted references that name an object and, as well, a field of another."""
     dotted = refs.filter(F.col("raw").contains(".")).withColumns({"base": F.regexp_extract("raw", r"^(.*)\.[^.]*$", 1), "field": F.regexp_extract("raw", r"\.([^.]*)$", 1)})
-    whole = objects.select(F.col("__id").alias("raw")).distinct()
-    fields = objects.select(F.col("__id").alias("base"), F.explode(F.json_object_keys("data")).alias("field")).distinct()
-    return dotted.join(whole, "raw", "left_semi").join(fields, ["base", "field"], "left_semi").select(*refs.columns)
+    whole = objects.filter(F.col("__id").contains(".")).select(F.col("__id").alias("raw"))
+    fields = objects.select(F.col("__id").alias("of"), F.json_object_keys("data").alias("keys"))  # one row an object; a semi join takes no row twice
+    return dotted.join(whole, "raw", "left_semi").join(fields, (F.col("base") == F.col("of")) & F.array_contains("keys", F.col("field")), "left_semi").select(*refs.columns)
 
 
 def broken_parents(objects: DataFrame) -> DataFrame:
     """Objects whose parent isn't there."""
-    ids = objects.select(F.col("__id").alias("p")).distinct()
+    ids = objects.select(F.col("__id").alias("p"))  # not told apart: an anti join takes no row twice, and no task has to hold them
     return objects.filter("__parent is not null").join(ids, F.col("__parent") == F.col("p"), "left_anti").select("__global_id", "__parent")
 
 
