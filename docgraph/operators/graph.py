@@ -8,11 +8,14 @@ loss costs one hop.  No set is collected.
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgraph.storage import discard, written
+from docgraph.storage import batches_of, discard, written
 
 
 def steps(edges: DataFrame, direction: str = "outgoing", edge_type: str | None = None) -> DataFrame:
@@ -61,22 +64,39 @@ def reachable(edges: DataFrame, starts: DataFrame, direction: str = "outgoing")
 
 
 def find_path(edges: DataFrame, start: str, end: str, edge_type: str | None = None) -> DataFrame:
-    """One row: the shortest undirected path (of several the least in order) and its length; none if there is no path, however far it goes.
+    """One row: the shortest undirected path (of several the least in order) and its length; none if there is no path, however far it goes."""
+    return find_paths(edges, start, [end], edge_type).select("path", "length")
+
+
+def find_paths(edges: DataFrame, start: str, ends: Sequence[str], edge_type: str | None = None) -> DataFrame:
+    """end, path, length for each end there is a path to (see find_path), from one walk.
 
-    Each hop keeps one least path a node, found along the nodes' parents.
+    Each hop keeps one least path a node, found along the nodes' parents.  An
+    end is looked for among its own neighbours, so that the last hop, which is
+    the widest, isn't taken; an end that no edge has isn't walked to.
     """
     spark = edges.sparkSession
-    hops = written(steps(edges, "both", edge_type), "walk")
+    found = [spark.createDataFrame([(e, [start]) for e in {*ends} if e == start], "end string, path array<string>")]
+    e = edges if edge_type is None else edges.filter(F.col("edge_type") == edge_type)
+    e = written(e.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), "walk")
+    hops = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    last = written(hops.filter(F.col("dst").isin([x for x in {*ends} if x != start])).distinct(), "walk")
+    waiting = {r[0] for r in last.select("dst").distinct().collect()}
     frontier = visited = written(spark.createDataFrame([(start, [start])], "id string, path array<string>"), "walk")
-    while True:
-        hit = frontier.filter(F.col("id") == end)
-        if not hit.isEmpty():
-            return hit.select("path", (F.size("path") - 1).alias("length"))
+    while waiting:
+        hit = written(frontier.join(last.filter(F.col("dst").isin(list(waiting))), F.col("id") == F.col("src")).groupBy(F.col("dst").alias("end")).agg(F.min("path").alias("p")).select("end", F.concat("p", F.array("end")).alias("path")), "walk")
+        done = {r[0] for r in hit.select("end").collect()}
+        if done:
+            found.append(hit)
+            waiting -= done
+        if not waiting:
+            break
         new = frontier.join(hops, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("p"))
         frontier = written(new.join(visited.select("id"), "id", "left_anti").select("id", F.concat("p", F.array("id")).alias("path")), "walk")
         if frontier.isEmpty():
-            return spark.createDataFrame([], "path array<string>, length int")
+            break
         visited = visited.unionByName(frontier)
+    return functools.reduce(DataFrame.unionByName, found).select("end", "path", (F.size("path") - 1).alias("length"))
 
 
 def descendants(objects: DataFrame) -> DataFrame:
@@ -112,25 +132,36 @@ def tree(objects: DataFrame, hidden: tuple[str, ...] = ("__TextBlock", "__Docume
 def level_parents(objects: DataFrame) -> DataFrame:
     """The nearest object on a line before it in its file with a lower level, for each object (of one line the greatest id).
 
-    One pass over each file in order, with a stack; a file's objects are one group.
+    Of a line's objects of one level only the greatest id can be a parent; these
+    pass in order, with a stack, and no file is held.  Objects get the parent
+    that their file, line and level have.
     """
+    place = ["__file", "__line", "__level"]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["__line"], pdf["__global_id"], pdf["__level"]))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
         stack: list[tuple[int, str]] = []
-        out, waiting = [], []
-        for n, (line, gid, level) in enumerate(rows):
-            if n and line != rows[n - 1][0]:
-                for lv, g in waiting:
-                    while stack and stack[-1][0] >= lv:
-                        stack.pop()
-                    stack.append((lv, g))
-                waiting = []
-            out.append((gid, next((g for lv, g in reversed(stack) if lv < level), None)))
-            waiting.append((level, gid))
-        return pd.DataFrame(out, columns=["__global_id", "parent_id"])
-
-    return objects.select("__file", "__line", "__level", "__global_id").groupBy("__file").applyInPandas(one, "__global_id string, parent_id string")
+        waiting: list[tuple[int, str]] = []
+        for b in (part for whole in batches for part in batches_of(whole, rows=10_000)):
+            parents = []
+            for file, line, level, gid in zip(*(b.column(n).to_pylist() for n in range(4))):
+                if now != (file, line):
+                    if now is None or now[0] != file:
+                        stack, waiting = [], []
+                    for lv, g in waiting:
+                        while stack and stack[-1][0] >= lv:
+                            stack.pop()
+                        stack.append((lv, g))
+                    now, waiting = (file, line), []
+                parents.append(next((g for lv, g in reversed(stack) if lv < level), None))
+                waiting.append((level, gid))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(parents, pa.string())], [*place, "parent_id"])
+
+    o = objects.select(*place, "__global_id")
+    first = o.dropna().groupBy(*place).agg(F.max("__global_id").alias("g")).repartition("__file").sortWithinPartitions("__file", "__line", "g")
+    kinds = dict(o.dtypes)
+    parents = first.mapInArrow(read, ", ".join(f"{c} {kinds[c]}" for c in place) + ", parent_id string")
+    return o.join(parents, place, "left").select("__global_id", "parent_id")
 
 
 def find_references(edges: DataFrame, objects: DataFrame, target: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +88,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of no, one, two and three steps, and to nowhere (which has no row), over all edges."""
     e = _edges(spark, sf_dir)
     ends = [START, _first(spark, sf_dir, "Nation"), _first(spark, sf_dir, "Customer"), _first(spark, sf_dir, "Order"), "ASIA::ghost"]
-    found = [graph.find_path(e, START, end).select(F.array_join("path", ">").alias("path"), "length") for end in ends]
-    return functools.reduce(DataFrame.unionByName, found)
+    return graph.find_paths(e, START, ends).select(F.array_join("path", ">").alias("path"), "length")
 
 
 _REFS = r"""refs AS (
