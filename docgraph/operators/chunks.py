@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.storage import batches_of, dealt, written
+
 SCHEMA = "chunk_id string, object_id string, object_kind string, chunk_type string, source_file string, text string, text_hash string, parent_chunk_id string"
 _NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 SECTION = re.compile(r"^(?:#{1,4}\s+.+|[A-Z][A-Za-z /()-]+:$|\*\*[^*]+\*\*:?$|[A-Z][a-z]+ [a-z]+ \([^)]+\):$)", re.MULTILINE)
@@ -138,11 +140,11 @@ def extract(objects: DataFrame, comments: DataFrame | None = None, sizes: Sizes
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.string()) for n in _NAMES])
-        for b in batches:
+        for b in (part for whole in batches for part in batches_of(whole, 5, 6)):
             rows = [c for r in b.to_pylist() for c in chunks_of({**json.loads(r["data"] or "{}"), **{k: r[k] for k in ("__id", "__kind", "__label", "__file", "__global_id")}, "__comments": json.loads(r["comments"] or "[]")}, sizes)]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return o.mapInArrow(read, SCHEMA)
+    return (o if comments is None else dealt(written(o, "objects"), "data")).mapInArrow(read, SCHEMA)  # what is joined comes in few partitions
 
 
 def comments_of(rows: DataFrame, objects: DataFrame) -> DataFrame:

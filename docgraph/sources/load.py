@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import identity
 from docgraph.sources.parse import outside_examples, parse
-from docgraph.storage import written
+from docgraph.storage import batches_of, dealt, written
 
 SUFFIX, IGNORE = ".qmd.md", ".docignore"
 _MARK = r"\[\[\s*([^\]:\s]+)\s*:\s*{kind}\s*\]\]"
@@ -103,12 +103,12 @@ def placed(files: DataFrame, root_name: str, suffix: str = SUFFIX) -> DataFrame:
 
     A namespace counts within its own workspace only.
     """
-    roots = marks(files, "__Workspace", suffix)
-    f = nearest(files, roots.select("dir", F.struct("dir", "value").alias("value")), "ws")
-    spaces = marks(files, "__Namespace", suffix)
-    f = nearest(f, spaces.select("dir", F.struct("dir", "value").alias("value")), "ns")
+    dirs = files.select(folder_of(F.col("file")).alias("at")).distinct().withColumn("file", F.concat("at", F.lit("/x")))  # texts move once, with what their folder gives
+    f = nearest(dirs, marks(files, "__Workspace", suffix).select("dir", F.struct("dir", "value").alias("value")), "ws")
+    f = nearest(f, marks(files, "__Namespace", suffix).select("dir", F.struct("dir", "value").alias("value")), "ns")
     inner = F.col("ns").isNotNull() & (F.col("ws").isNull() | (F.length("ns.dir") >= F.length("ws.dir")))
-    return f.select("file", "text", F.coalesce("ws.value", F.lit(root_name)).alias("workspace"), F.col("ws").isNotNull().alias("marked"), F.when(inner, F.col("ns.value")).otherwise("").alias("namespace"))
+    f = f.select("at", F.coalesce("ws.value", F.lit(root_name)).alias("workspace"), F.col("ws").isNotNull().alias("marked"), F.when(inner, F.col("ns.value")).otherwise("").alias("namespace"))
+    return files.withColumn("at", folder_of(F.col("file"))).join(f, "at").select("file", "text", "workspace", "marked", "namespace")
 
 
 def _strings(v: Any) -> Iterator[str]:
@@ -130,23 +130,33 @@ def _row(file: str, n: int, o: dict[str, Any]) -> dict[str, Any]:
             "refs": [{k: r[k] for k in ("target", "type", "line", "start_col", "end_col", "raw")} for r in o.get("__references", [])], "error": o.get("type") if bad else None}
 
 
-def parse_files(files: DataFrame, seed: int = 666) -> DataFrame:
-    """The parsed rows (PARSED) of documents (columns file, text), a row for each object and each parse error; null texts have none."""
+def parse_files(files: DataFrame, seed: int = 666, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The parsed rows (PARSED) of documents (columns file, text), a row for each object and each parse error; null texts have none.
+
+    Documents are dealt evenly to tasks, whatever files they come in; ``keep``: columns that each document's rows get too.
+    """
     types = files.sparkSession.createDataFrame([], PARSED)
-    names = types.columns
+    names, shape = types.columns, types.schema
+    kinds = dict(files.dtypes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(shape)
         for b in batches:
-            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows = [_row(file, n, o) for n, o in enumerate(parse(text, seed, "full"))] if text is not None else []
+            for part in batches_of(b, 1):
+                rows, origin = [], []
+                for k, (file, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    if text is not None:
+                        own = [_row(file, n, o) for n, o in enumerate(parse(text, seed, "full"))]
+                        rows += own
+                        origin += [k] * len(own)
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in rows], schema)
+                    out = pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in schema], schema=schema)
+                    more = [part.column(2 + n).take(pa.array(origin)) for n in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *more], [*names, *keep])
 
-    shape = types.schema
-    return files.select("file", "text").mapInArrow(read, PARSED)
+    return dealt(files.select("file", "text", *keep), "text").mapInArrow(read, ", ".join([PARSED, *(f"{c} {kinds[c]}" for c in keep)]))
 
 
 @dataclass
@@ -186,7 +196,7 @@ def edges_of(rows: DataFrame, objects: DataFrame) -> DataFrame:
 def relations(files: DataFrame, root_name: str = "workspace", suffix: str = SUFFIX, seed: int = 666) -> Workspace:
     """A load of documents (columns file, text)."""
     where = placed(files, root_name, suffix)
-    rows = written(where.join(parse_files(files, seed), "file").drop("text"), "parsed")
+    rows = written(parse_files(where, seed, ("workspace", "marked", "namespace")), "parsed")
     stray = (F.col("__kind") == "__Workspace") & (F.element_at(F.split("file", "/"), -1) != "readme" + suffix)
     kept = rows.filter(~stray)
     virtual = (where.filter("not marked").select("workspace").distinct()
