@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import graph
 from docgraph.operators.text import is_id_query
+from docgraph.storage import written
 
 WEIGHTS = {True: (0.3, 0.7, 0.4), False: (0.7, 0.3, 0.2)}
 
@@ -56,6 +57,7 @@ def expand(scores: DataFrame, edges: DataFrame, distances: DataFrame, top_k: int
     likeness to the query (distances: object_id, distance), and the greater counts.
     Hits that the walk doesn't reach are left out.
     """
+    scores = written(scores, "scores")  # read by the walk and by the end
     seeds = scores.orderBy(F.desc("score"), "object_id").limit(max(1, top_k // 2)).select(F.col("object_id").alias("id"))
     e = edges.select("source_id", "target_id")
     reached = graph.walk(seeds, graph.steps(e, "both"), depth).select(F.col("id").alias("object_id"))

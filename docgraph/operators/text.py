@@ -1,8 +1,8 @@
 """Keyword and substring search: BM25 over words and over a phrase of characters.
 
-Only a query's terms are counted in each text, inside the scan; what is
-shuffled is one row for a text and term that match, and one row of corpus
-statistics is joined by broadcast.
+Only a query's terms are counted in each text, inside one scan, whose counts
+are written; what is shuffled is one row for a text and term that match, and
+one row of corpus statistics is joined by broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.storage import written
+
 K1, B = 1.2, 0.75
 WORD = r"([\p{L}\p{N}]+)"
 
@@ -46,8 +48,9 @@ def keyword_search(chunks: DataFrame, query: str, key: str = "chunk_id", text: s
     terms = query_terms(query)
     if not terms:
         return chunks.select(key).withColumn("score", F.lit(0.0)).limit(0)
-    t = chunks.select(key, words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    counted = t.select(key, "dl", F.explode(F.array(*[F.struct(F.lit(x).alias("term"), F.size(F.filter("w", _is(x))).alias("tf")) for x in terms])).alias("m")).select(key, "dl", "m.term", "m.tf").filter("tf > 0")
+    t = chunks.select(key, words(F.col(text)).alias("w"))
+    t = written(t.select(key, F.size("w").alias("dl"), F.array(*[F.struct(F.lit(x).alias("term"), F.size(F.filter("w", _is(x))).alias("tf")) for x in terms]).alias("m")), "words")  # texts are read once
+    counted = t.select(key, "dl", F.explode("m").alias("m")).select(key, "dl", "m.term", "m.tf").filter("tf > 0")
     whole = t.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return counted.join(F.broadcast(df), "term").crossJoin(F.broadcast(whole)).groupBy(key).agg(F.sum(_bm25()).alias("score"))
@@ -102,9 +105,10 @@ def substring_search(chunks: DataFrame, query: str, key: str = "chunk_id", text:
         return chunks.select(key).withColumn("score", F.lit(0.0)).limit(0)
     low = F.lower(text)
     hits = chunks.select(key, F.length(text).alias("dl"), low.alias("low"))
-    whole = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     tf = ((F.length("low") - F.length(F.replace("low", F.lit(q), F.lit("")))) / len(q)).cast("bigint")
-    found = hits.filter(F.col("low").contains(q)).select(key, "dl", tf.alias("tf"))
+    hits = written(hits.select(key, "dl", F.when(F.col("low").contains(q), tf).alias("tf")), "places")  # texts are read once
+    whole = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    found = hits.filter("tf is not null")
     df = found.agg(F.count(F.lit(1)).alias("df"))
     return found.crossJoin(F.broadcast(df)).crossJoin(F.broadcast(whole)).select(key, _bm25().alias("score"))
 
