@@ -74,7 +74,7 @@ def test_chunks_come_in_small_batches(spark):
 
     read = chunks.extract(Taken())
     sizes = [b.num_rows for b in read(iter(df.withColumn("comments", F.lit(None).cast("string")).toArrow().combine_chunks().to_batches()))]
-    assert sum(sizes) == 2400 and max(sizes) <= 1000
+    assert sum(sizes) == 1200 and max(sizes) <= 1000
 
 
 def test_paths_to_several_ends_are_one_walk(spark):
